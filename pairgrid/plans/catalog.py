@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Plan modules, each exporting QUERIES (name → callable) and ORACLES (name → SQL).
 _MODULES = [
     "pairgrid.plans.shrunk_means",
+    "pairgrid.plans.curation",
 ]
 
 
