@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = [
     "pairgrid.plans.shrunk_means",
     "pairgrid.plans.curation",
+    "pairgrid.plans.folds",
 ]
 
 
