@@ -104,23 +104,26 @@ def filter_slice(df: DataFrame, conds: Mapping[str, object]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, preds)) if preds else df
 
 
-def global_row_index(df: DataFrame, keys: Sequence[str], seed: str = "42", buckets: int = 256) -> DataFrame:
-    """Dense 0-based row id in seeded-hash order (W2); ``keys`` must be unique.
-
-    Rows go to ``buckets`` contiguous ranges of the 32-bit key hash (uniform,
-    deterministic, no sampling). Row numbers are taken inside each bucket and
-    shifted by the row count of all lower buckets: the offset table has one
-    row per bucket, so no step holds more than one bucket of rows. Use a
-    natural key where one exists; this is for tables without one.
+def global_row_index(df: DataFrame, keys: Sequence[str], seed: str = "42", buckets: int = 256,
+                     tiebreak: Sequence[str] = (), out: str = "index") -> DataFrame:
+    """Dense 0-based row id in seeded-shuffle order.
+
+    The order is (hash of ``keys`` with ``seed``, ``keys``, ``tiebreak``);
+    together they must identify a row. Rows go to ``buckets`` contiguous
+    ranges of the 32-bit hash (uniform and deterministic: no sampling), are
+    numbered inside their bucket, and shifted by the row count of all lower
+    buckets. The offset table has one row per bucket, so no step holds more
+    than one bucket of rows.
     """
     h = hash_unit(pair_key(keys), seed)
     d = df.withColumn("_h", h).withColumn("_b", (F.col("_h") * buckets / F.lit(4294967296.0)).cast("int"))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: a bounded table, summed in bucket order
     offsets = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_b").orderBy("_h", *keys)
+    w = Window.partitionBy("_b").orderBy("_h", *keys, *tiebreak)
     d = d.withColumn("_r", F.row_number().over(w))
     return (d.join(F.broadcast(offsets), "_b")
-             .withColumn("index", (F.col("_off") + F.col("_r") - 1).cast("bigint"))
+             .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("bigint"))
              .drop("_h", "_b", "_r", "_off"))
 
 

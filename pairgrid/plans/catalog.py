@@ -12,6 +12,7 @@ _MODULES = [
     "pairgrid.plans.shrunk_means",
     "pairgrid.plans.curation",
     "pairgrid.plans.folds",
+    "pairgrid.plans.evaluation",
 ]
 
 

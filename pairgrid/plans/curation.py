@@ -184,7 +184,7 @@ def q_patch_value(spark, sf_dir):
 
 def q_log10_target(spark, sf_dir):
     o = C.log10_target(load(spark, sf_dir, "lineitem"), "l_extendedprice", "y")
-    return o.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("idx"), F.round("y", 9).alias("y"))
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", F.round("y", 9).alias("y"))
 
 
 # Share of rows a duration value needs to become a bin edge (the reference
@@ -473,7 +473,7 @@ ORACLES = {
     "patch_value": with_sql(RAW_CHEMICALS_SQL)
     + "SELECT cas_number, CASE WHEN chemical_name = 'small ring' THEN 'small ring (fixed)' ELSE chemical_name END "
       "AS chemical_name FROM chemicals",
-    "log10_target": "SELECT l_orderkey * 8 + l_linenumber AS idx, round(log10(l_extendedprice), 9) AS y FROM lineitem",
+    "log10_target": "SELECT l_orderkey, l_linenumber, l_partkey, round(log10(l_extendedprice), 9) AS y FROM lineitem",
     "cut_right_closed": with_sql(OBS_SQL, EDGES_SQL) + "SELECT idx, dur_bin FROM binned",
     "data_driven_edges": with_sql(OBS_SQL, EDGES_SQL)
     + "SELECT l.edge_no, l.edge, coalesce(c.n, 0) AS n_rows FROM edge_list l "

@@ -113,8 +113,8 @@ r(rn, key, fold, loads) AS (
   FROM r JOIN ord ON ord.rn = r.rn + 1)"""
 
 ORACLES = {
-    "group_kfold_greedy": "WITH RECURSIVE " + OBS_SQL.strip() + "," + _GREEDY_SQL
-    + "\nSELECT CAST(key AS BIGINT) AS chem, fold FROM r WHERE rn > 0",
+    "group_kfold_greedy": with_sql(OBS_SQL, _GREEDY_SQL, recursive=True)
+    + "SELECT CAST(key AS BIGINT) AS chem, fold FROM r WHERE rn > 0",
     "group_kfold_hash": with_sql(OBS_SQL) + "SELECT DISTINCT chem, fold2 AS fold FROM obs",
     "holdout_by_pair": with_sql(OBS_SQL)
     + "SELECT fold1 AS fold, count(*) AS n_rows, count(DISTINCT (chem, species)) AS n_groups FROM obs GROUP BY 1",

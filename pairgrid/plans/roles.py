@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgrid.functions.columns import hash_fold, pair_key
+from pairgrid.operators.reshape import global_row_index
 from pairgrid.session import table_path
 
 K_FOLDS = 5
@@ -25,15 +26,41 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+# --- row identity --------------------------------------------------------------
+# No column set short of the whole row is unique in the line items, so the
+# row id is built as the reference builds it: a dense index in a seeded
+# shuffle order (W2). The order hashes the integer keys and breaks ties on
+# the remaining columns.
+
+LI_HASH_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LI_TIEBREAK = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+ROW_SEED = "42"
+
+
+def lineitem_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return global_row_index(li, LI_HASH_KEYS, ROW_SEED, buckets, LI_TIEBREAK, out="idx")
+
+
+LI_SQL = f"""
+li AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY
+           CAST(('0x' || substr(md5(concat(concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for c in LI_HASH_KEYS)}),
+                                          '#{ROW_SEED}')), 1, 8)) AS BIGINT),
+           {", ".join(LI_HASH_KEYS + LI_TIEBREAK)}) - 1 AS BIGINT) AS idx
+  FROM lineitem
+)"""
+
+
 # --- observations: the modelling table -------------------------------------
 # One row per line item: species = supplier, chemical = part, duration =
-# quantity, outcome = extended price (log10 as target). ``idx`` is the
-# natural key order*8 + line number, stored once (no row_number).
+# quantity, outcome = extended price (log10 as target).
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem")
+    li = lineitem_indexed(spark, sf_dir)
     obs = li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("idx"),
+        F.col("idx"),
         F.col("l_suppkey").alias("species"),
         F.col("l_partkey").alias("chem"),
         F.col("l_quantity").alias("duration"),
@@ -64,9 +91,9 @@ def _duck_fold(key_sql: str, k: int = K_FOLDS, salt: str = "") -> str:
 _PAIR_SQL = "concat_ws('|', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))"
 _CHEM_SQL = "CAST(l_partkey AS VARCHAR)"
 
-OBS_SQL = f"""
+OBS_SQL = (LI_SQL, f"""
 obs AS (
-  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS idx,
+  SELECT idx,
          l_suppkey AS species, l_partkey AS chem,
          l_quantity AS duration, l_extendedprice AS value,
          log10(l_extendedprice) AS y,
@@ -74,12 +101,8 @@ obs AS (
          {_duck_fold(_CHEM_SQL)} AS fold2,
          {_duck_fold(_PAIR_SQL, salt=INNER_SALT)} AS inner1,
          {_duck_fold(_CHEM_SQL, salt=INNER_SALT)} AS inner2
-  FROM lineitem
-)"""
-
-
-def duck_fold_sql(key_sql: str, k: int = K_FOLDS, salt: str = "") -> str:
-    return _duck_fold(key_sql, k, salt)
+  FROM li
+)""")
 
 
 # --- raw curation inputs -------------------------------------------------------
@@ -126,7 +149,7 @@ def _pick(index_col, values: list[str]):
 
 
 def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem")
+    li = lineitem_indexed(spark, sf_dir)
     disc = F.round(F.col("l_discount") * 100).cast("int")
     price_txt = F.col("l_extendedprice").cast("decimal(14,2)").cast("string")
     conc_txt = (F.when(F.round(F.col("l_tax") * 100).cast("int") == 0, F.lit("NR"))
@@ -136,7 +159,7 @@ def raw_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     dur_txt = (F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), F.lit("NR"))
                .otherwise(F.col("l_quantity").cast("decimal(10,1)").cast("string")))
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("result_id"),
+        F.col("idx").alias("result_id"),
         F.col("l_orderkey").alias("test_id"),
         (F.col("l_partkey") + 50000).alias("test_cas"),
         F.col("l_suppkey").alias("species_number"),
@@ -157,9 +180,9 @@ def _duck_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
-RAW_RESULTS_SQL = f"""
+RAW_RESULTS_SQL = (LI_SQL, f"""
 results AS (
-  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS result_id,
+  SELECT idx AS result_id,
          l_orderkey AS test_id,
          l_partkey + 50000 AS test_cas,
          l_suppkey AS species_number,
@@ -177,8 +200,8 @@ results AS (
          CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN 'NR'
               ELSE CAST(CAST(l_quantity AS DECIMAL(10,1)) AS VARCHAR) END AS obs_duration_mean,
          {_duck_list(DURATION_UNIT_BY_LINE)}[l_linenumber] AS obs_duration_unit
-  FROM lineitem
-)"""
+  FROM li
+)""")
 
 
 def raw_chemicals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,5 +260,19 @@ refs AS (
 )"""
 
 
-def with_sql(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+def _flat(ctes):
+    for c in ctes:
+        if isinstance(c, (tuple, list)):
+            yield from _flat(c)
+        else:
+            yield c.strip()
+
+
+def with_sql(*ctes, recursive: bool = False) -> str:
+    """WITH clause from CTE strings or tuples of them (a CTE with the ones it
+    depends on); repeated CTEs are kept once, first position wins."""
+    seen = []
+    for c in _flat(ctes):
+        if c not in seen:
+            seen.append(c)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(seen) + "\n"

@@ -150,9 +150,11 @@ long AS (
   UNION ALL SELECT 'setting2', 'LM1', species, fold2, inner2, idx, y FROM obs
 )"""
 
-GRID_SQL = f"""
+def grid_ctes(alphas_sql: str = _ALPHAS_SQL) -> str:
+    """Brute-force nested-CV scores up to ``per_inner`` (setting, model, o, i, alpha, rmse)."""
+    return f"""
 splits AS (SELECT CAST(a.range AS INTEGER) AS o, CAST(b.range AS INTEGER) AS i FROM range(1, 6) a, range(1, 6) b),
-alphas AS (SELECT unnest({_ALPHAS_SQL}) AS alpha),
+alphas AS (SELECT unnest({alphas_sql}) AS alpha),
 tr AS (SELECT l.setting, l.model, s.o, s.i, l.g, count(*) AS n, sum(l.y) AS sy
        FROM long l JOIN splits s ON l.f <> s.o AND l.j <> s.i GROUP BY ALL),
 fit AS (SELECT tr.*, a.alpha, n * a.alpha / (n + a.alpha) AS c, sy / n AS m FROM tr, alphas a),
@@ -165,7 +167,10 @@ val AS (
   JOIN icpt ic ON ic.setting = l.setting AND ic.model = l.model AND ic.o = s.o AND ic.i = s.i AND ic.alpha = a.alpha
   LEFT JOIN fit ON fit.setting = l.setting AND fit.model = l.model AND fit.o = s.o AND fit.i = s.i
                AND fit.alpha = a.alpha AND fit.g = l.g),
-per_inner AS (SELECT setting, model, o, i, alpha, sqrt(avg((y - p) * (y - p))) AS rmse FROM val GROUP BY ALL),
+per_inner AS (SELECT setting, model, o, i, alpha, sqrt(avg((y - p) * (y - p))) AS rmse FROM val GROUP BY ALL)"""
+
+
+GRID_SQL = grid_ctes() + f""",
 grid AS (SELECT setting, model, o AS fold, alpha, avg(rmse) AS rmse FROM per_inner GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, model, fold
                                                       ORDER BY round(rmse, {SCORE_DIGITS}), alpha) AS rn FROM grid)
