@@ -13,6 +13,7 @@ _MODULES = [
     "pairgrid.plans.curation",
     "pairgrid.plans.folds",
     "pairgrid.plans.evaluation",
+    "pairgrid.plans.feature_plans",
 ]
 
 
