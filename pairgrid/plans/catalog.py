@@ -14,6 +14,8 @@ _MODULES = [
     "pairgrid.plans.folds",
     "pairgrid.plans.evaluation",
     "pairgrid.plans.feature_plans",
+    "pairgrid.plans.learner_plans",
+    "pairgrid.plans.stream_plans",
 ]
 
 
