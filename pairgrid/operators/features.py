@@ -74,6 +74,31 @@ def key_fingerprint(df: DataFrame, key: str, text: str, patterns: Sequence[str])
                 .withColumn("cnt", F.lit(1)))
 
 
+def fingerprint(df: DataFrame, key: str, text: str, fn, width: int) -> DataFrame:
+    """Per-entity user feature function (Y3), long form (key, bit, cnt).
+
+    ``fn`` is a vectorised ``pandas.Series[str] → Series[list[int]]`` of
+    length-``width`` count vectors. It runs once per **distinct** entity in
+    Arrow batches; a NULL result (text the function cannot parse) becomes
+    all zeros, i.e. no rows in the long form.
+    """
+    @F.pandas_udf("array<int>")
+    def _fp(s: pd.Series) -> pd.Series:
+        out = fn(s)
+        return out.map(lambda v: [0] * width if v is None else [int(x) for x in v])
+
+    ents = df.select(key, text).dropDuplicates([key])
+    arr = ents.select(key, _fp(F.col(text)).alias("_a"))
+    return (arr.select(key, F.posexplode("_a").alias("bit", "cnt"))
+               .filter(F.col("cnt") != 0).select(key, F.col("bit").cast("int"), F.col("cnt").cast("int")))
+
+
+def letter_counts(s: pd.Series) -> pd.Series:
+    """Example user function: counts of the letters a–z (case-insensitive)."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return s.map(lambda t: None if t is None else [t.lower().count(c) for c in letters])
+
+
 def one_hot_long(df: DataFrame, row: str, codes: Sequence[tuple[str, int]], block_names: Sequence[str] | None = None
                  ) -> DataFrame:
     """Indicator blocks in long form (F1): (row, block, feature) with value 1.

@@ -197,8 +197,8 @@ def duration_edges(obs: DataFrame) -> list[float]:
 
 
 def q_data_driven_edges(spark, sf_dir):
-    edges = duration_edges(observations(spark, sf_dir))
-    obs = observations(spark, sf_dir)
+    edges = duration_edges(observations(spark, sf_dir, index=False))
+    obs = observations(spark, sf_dir, index=False)
     # one row per edge, tied to the data through the bin counts of each edge
     binned = obs.select(cut_right_closed("duration", edges).alias("edge_no")).groupBy("edge_no").count()
     e = spark.createDataFrame([(i, float(v)) for i, v in enumerate(edges)], "edge_no int, edge double")
@@ -212,12 +212,12 @@ def q_cut_right_closed(spark, sf_dir):
 
 
 def q_pair_key(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     return obs.groupBy(pair_key(["chem", "species"]).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_category_code(spark, sf_dir):
-    obs = observations(spark, sf_dir).select("species")
+    obs = observations(spark, sf_dir, index=False).select("species")
     return C.category_code(obs.distinct(), "species", "species_code")
 
 
@@ -309,7 +309,7 @@ def q_cross_grid(spark, sf_dir):
                                 "fold": [1, 2, 3, 4, 5], "alpha": [float(a) for a in SM.ALPHA_GRID]},
                         legal, ["setting", "model"])
     # keep folds that occur in the data, so the grid follows the table
-    folds = observations(spark, sf_dir).select(F.col("fold1").alias("fold")).distinct()
+    folds = observations(spark, sf_dir, index=False).select(F.col("fold1").alias("fold")).distinct()
     return grid.join(folds, "fold", "left_semi")
 
 
@@ -330,7 +330,7 @@ def q_scan_csv(spark, sf_dir):
 
 
 def q_scan_headerless_log(spark, sf_dir):
-    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir)))
+    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir, index=False)))
     path = K.scratch_path(spark, "lm_log")
     g.select("model", "setting", "fold", "alpha", F.round("rmse", 6).alias("rmse")) \
      .write.mode("overwrite").option("header", False).csv(path)
@@ -338,7 +338,7 @@ def q_scan_headerless_log(spark, sf_dir):
 
 
 def q_scan_params(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     cells = SM.model_cells(obs)
     grid = SM.grid_scores(cells)
     path = K.scratch_path(spark, "lm_optimal")
@@ -368,7 +368,7 @@ def q_write_fold_sets(spark, sf_dir):
 
 
 def q_append_log(spark, sf_dir):
-    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir)))
+    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir, index=False)))
     rows = g.select("model", "setting", "fold", "alpha", F.round("rmse", 6).alias("rmse"), F.lit("LM").alias("family"))
     path = K.scratch_path(spark, "log")
     K.append_log(rows.filter(F.col("setting") == "setting1"), path)

@@ -32,24 +32,24 @@ def _r6(c: str):
 # --- descriptive (observation table) --------------------------------------------------
 
 def q_count_by(spark, sf_dir):
-    return G.count_by(observations(spark, sf_dir), ["species"])
+    return G.count_by(observations(spark, sf_dir, index=False), ["species"])
 
 
 def q_value_counts(spark, sf_dir):
-    return G.value_counts(observations(spark, sf_dir), ["duration"])
+    return G.value_counts(observations(spark, sf_dir, index=False), ["duration"])
 
 
 def q_count_distinct(spark, sf_dir):
-    return G.count_distinct(observations(spark, sf_dir), ["species", "chem", "duration"])
+    return G.count_distinct(observations(spark, sf_dir, index=False), ["species", "chem", "duration"])
 
 
 def q_count_distinct_approx(spark, sf_dir):
     """HyperLogLog++ form of G3 (rsd 1%): checked by tolerance, not by SQL."""
-    return G.count_distinct(observations(spark, sf_dir), ["species", "chem", "duration"], approx=True)
+    return G.count_distinct(observations(spark, sf_dir, index=False), ["species", "chem", "duration"], approx=True)
 
 
 def q_distinct_per_group(spark, sf_dir):
-    return G.distinct_per_group(observations(spark, sf_dir), "chem", "species")
+    return G.distinct_per_group(observations(spark, sf_dir, index=False), "chem", "species")
 
 
 def q_distinct_keep_first(spark, sf_dir):
@@ -58,17 +58,17 @@ def q_distinct_keep_first(spark, sf_dir):
 
 
 def q_coverage_density(spark, sf_dir):
-    d = G.coverage_density(observations(spark, sf_dir), "chem", "species")
+    d = G.coverage_density(observations(spark, sf_dir, index=False), "chem", "species")
     return d.select("n_chem", "n_species", "n_pairs", _r6("density_pct"))
 
 
 def q_mean_log_by_pair(spark, sf_dir):
-    m = G.mean_log_by_pair(observations(spark, sf_dir), "chem", "species", "value")
+    m = G.mean_log_by_pair(observations(spark, sf_dir, index=False), "chem", "species", "value")
     return m.select("chem", "species", F.round("mean_log", 9).alias("mean_log"))
 
 
 def q_describe_counts(spark, sf_dir):
-    per_chem = G.count_by(observations(spark, sf_dir), ["chem"])
+    per_chem = G.count_by(observations(spark, sf_dir, index=False), ["chem"])
     d = G.describe_counts(per_chem, "n")
     return d.select("count", *[_r6(c) for c in ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
@@ -78,12 +78,12 @@ COUNT_BIN_EDGES = [0, 1, 2, 4, 8, 16, 128, 1024, 8192]
 
 
 def q_share_by_bin(spark, sf_dir):
-    s = G.share_by_bin(observations(spark, sf_dir), "chem", COUNT_BIN_EDGES)
+    s = G.share_by_bin(observations(spark, sf_dir, index=False), "chem", COUNT_BIN_EDGES)
     return s.select("bin", "n_keys", _r6("pct"))
 
 
 def q_histogram(spark, sf_dir):
-    return G.histogram(observations(spark, sf_dir), "y", 100)
+    return G.histogram(observations(spark, sf_dir, index=False), "y", 100)
 
 
 # --- prediction reports ---------------------------------------------------------------------
@@ -129,7 +129,7 @@ def noise_floor(obs: DataFrame) -> DataFrame:
 
 
 def q_variance_decomposition(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     cells = SM.model_cells(obs)
     pooled = SM.pooled_rmse(SM.holdout_scores(cells, SM.best_alphas(SM.grid_scores(cells))))
     wide = pooled.groupBy("setting").agg(
@@ -155,7 +155,7 @@ PATIENCE = 3
 
 def penalty_curves(spark, sf_dir) -> DataFrame:
     """(setting, model, outer, inner, round, rmse) for every point of the path."""
-    cells = SM.model_cells(observations(spark, sf_dir))
+    cells = SM.model_cells(observations(spark, sf_dir, index=False))
     nested = split_stats(cells, ["setting", "model", "g"], "f", K_FOLDS, "j", K_FOLDS)
     s = score_shrunk_mean(nested, ["setting", "model", "o", "i"], PATH)
     rnd = F.array_position(F.array(*[F.lit(a) for a in PATH]), F.col("alpha")).cast("int")
@@ -194,7 +194,7 @@ def q_global_row_index(spark, sf_dir):
 
 
 def chem_counts(spark, sf_dir) -> DataFrame:
-    return G.count_by(observations(spark, sf_dir), ["chem"])
+    return G.count_by(observations(spark, sf_dir, index=False), ["chem"])
 
 
 def q_top_k(spark, sf_dir):
@@ -206,7 +206,7 @@ def q_head_tail_select(spark, sf_dir):
 
 
 def q_pivot_matrix(spark, sf_dir):
-    best = SM.best_alphas(SM.grid_scores(SM.model_cells(observations(spark, sf_dir))))
+    best = SM.best_alphas(SM.grid_scores(SM.model_cells(observations(spark, sf_dir, index=False))))
     return W.pivot_matrix(best, ["setting", "fold"], "model", "alpha", ["LM0", "LM1", "LM2"])
 
 
@@ -218,7 +218,7 @@ def q_pivot_two_level(spark, sf_dir):
 
 
 def q_reindex_grid(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     chems = W.head_tail_select(G.count_by(obs, ["chem"]), "chem", "n", 10, 5).select("chem").distinct()
     species = W.head_tail_select(G.count_by(obs, ["species"]), "species", "n", 10, 5).select("species").distinct()
     sub = semi_membership(semi_membership(obs, chems, "chem"), species, "species")
@@ -228,7 +228,7 @@ def q_reindex_grid(spark, sf_dir):
 
 
 def q_order_output(spark, sf_dir):
-    return W.order_output(G.count_by(observations(spark, sf_dir), ["species"]), ["-n", "species"])
+    return W.order_output(G.count_by(observations(spark, sf_dir, index=False), ["species"]), ["-n", "species"])
 
 
 def q_sample_rows(spark, sf_dir):
@@ -237,7 +237,7 @@ def q_sample_rows(spark, sf_dir):
 
 
 def q_filter_slice(spark, sf_dir):
-    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir)))
+    g = SM.grid_scores(SM.model_cells(observations(spark, sf_dir, index=False)))
     s = W.filter_slice(g, {"fold": 1, "model": ["LM1", "LM2"]})
     return s.select("setting", "model", "fold", "alpha", _r6("rmse"))
 

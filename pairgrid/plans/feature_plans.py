@@ -168,6 +168,12 @@ def q_scan_sparse_rows(spark, sf_dir):
                                                          F.round(F.sum("val"), 4).alias("sum_val"))
 
 
+def q_user_fingerprint(spark, sf_dir):
+    """A user pandas function per distinct chemical (letter counts of its text)."""
+    ct = D.chem_text(spark, sf_dir, observations(spark, sf_dir, index=False))
+    return FT.fingerprint(ct, "chem", "text", FT.letter_counts, 26)
+
+
 def q_rbf_landmark_map(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
     phi = FT.rbf_landmark_map(emb, "vec_id", "embedding", 32, 0.05)
@@ -194,6 +200,7 @@ QUERIES = {
     "write_libffm": q_write_libffm,
     "scan_sparse_rows": q_scan_sparse_rows,
     "rbf_landmark_map": q_rbf_landmark_map,
+    "user_fingerprint": q_user_fingerprint,
 }
 
 
@@ -258,7 +265,12 @@ def _libsvm_line_sql(with_field: bool) -> str:
     return f"printf('%.4f', any_value(y)) || ' ' || array_to_string({body}, ' ')"
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES = {
+    "user_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL) + "SELECT chem, bit, cnt FROM (" + " UNION ALL ".join(
+        f"SELECT chem, {i} AS bit, CAST(length(lower(text)) - length(replace(lower(text), '{c}', '')) AS INTEGER) AS cnt "
+        f"FROM ctext" for i, c in enumerate(_LETTERS)) + ") WHERE cnt <> 0",
     "hashed_count_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL) + "SELECT chem, bit, cnt FROM fp",
     "hashed_count_fingerprint_docs": with_sql(DOC_FP_SQL) + "SELECT doc_id, bit, cnt FROM dfp",
     "key_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, KEYS_SQL) + "SELECT chem, bit FROM keys",

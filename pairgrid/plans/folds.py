@@ -24,18 +24,26 @@ def q_group_kfold_greedy_pairs(spark, sf_dir):
 
 
 def q_group_kfold_hash(spark, sf_dir):
-    obs = observations(spark, sf_dir).select("chem")
+    obs = observations(spark, sf_dir, index=False).select("chem")
     return V.assign_folds(obs, ["chem"], 5, "hash").select("chem", "fold").distinct()
 
 
+def q_assign_folds_custom(spark, sf_dir):
+    """A user splitter passed as a callable (here: last digit of the chemical key, mod k)."""
+    def by_last_digit(key, k):
+        return F.pmod(F.substring(key, -1, 1).cast("int"), F.lit(k)) + 1
+    f = V.assign_folds(observations(spark, sf_dir, index=False).select("chem"), ["chem"], 5, by_last_digit)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chem").alias("n_groups"))
+
+
 def q_holdout_by_pair(spark, sf_dir):
-    f = V.holdout(observations(spark, sf_dir).select("chem", "species"), "setting1")
+    f = V.holdout(observations(spark, sf_dir, index=False).select("chem", "species"), "setting1")
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.countDistinct("chem", "species").alias("n_groups"))
 
 
 def q_holdout_by_entity(spark, sf_dir):
-    f = V.holdout(observations(spark, sf_dir).select("chem", "species"), "setting2")
+    f = V.holdout(observations(spark, sf_dir, index=False).select("chem", "species"), "setting2")
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chem").alias("n_groups"))
 
 
@@ -65,20 +73,20 @@ def q_read_folds(spark, sf_dir):
 
 
 def q_leakage_check(spark, sf_dir):
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     a = V.leakage_check(obs, ["chem", "species"], "fold1").withColumn("setting", F.lit("setting1"))
     b = V.leakage_check(obs, ["chem"], "fold2").withColumn("setting", F.lit("setting2"))
     return a.unionByName(b)
 
 
 def q_split_cells(spark, sf_dir):
-    s = V.split_cells(observations(spark, sf_dir), "species", "chem", 0.2)
+    s = V.split_cells(observations(spark, sf_dir, index=False), "species", "chem", 0.2)
     return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"),
                                     F.countDistinct("species", "chem").alias("n_cells"))
 
 
 def q_split_columns(spark, sf_dir):
-    s = V.split_columns(observations(spark, sf_dir), "chem", 0.2)
+    s = V.split_columns(observations(spark, sf_dir, index=False), "chem", 0.2)
     return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("chem").alias("n_chem"))
 
 
@@ -87,6 +95,7 @@ QUERIES = {
     "group_kfold_greedy_pairs": q_group_kfold_greedy_pairs,
     "group_kfold_hash": q_group_kfold_hash,
     "holdout_by_pair": q_holdout_by_pair,
+    "assign_folds_custom": q_assign_folds_custom,
     "holdout_by_entity": q_holdout_by_entity,
     "nested_folds": q_nested_folds,
     "nested_folds_greedy": q_nested_folds_greedy,
@@ -113,6 +122,9 @@ r(rn, key, fold, loads) AS (
   FROM r JOIN ord ON ord.rn = r.rn + 1)"""
 
 ORACLES = {
+    "assign_folds_custom": with_sql(OBS_SQL)
+    + "SELECT CAST(CAST(right(CAST(chem AS VARCHAR), 1) AS INTEGER) % 5 + 1 AS INTEGER) AS fold, count(*) AS n_rows, "
+      "count(DISTINCT chem) AS n_groups FROM obs GROUP BY 1",
     "group_kfold_greedy": with_sql(OBS_SQL, _GREEDY_SQL, recursive=True)
     + "SELECT CAST(key AS BIGINT) AS chem, fold FROM r WHERE rn > 0",
     "group_kfold_hash": with_sql(OBS_SQL) + "SELECT DISTINCT chem, fold2 AS fold FROM obs",

@@ -57,10 +57,12 @@ li AS (
 # One row per line item: species = supplier, chemical = part, duration =
 # quantity, outcome = extended price (log10 as target).
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lineitem_indexed(spark, sf_dir)
+def observations(spark: SparkSession, sf_dir: str, index: bool = True) -> DataFrame:
+    """The modelling table; ``index=False`` skips the row id (one scan, no
+    extra shuffle) for plans that only aggregate."""
+    li = lineitem_indexed(spark, sf_dir) if index else load(spark, sf_dir, "lineitem")
     obs = li.select(
-        F.col("idx"),
+        *([F.col("idx")] if index else []),
         F.col("l_suppkey").alias("species"),
         F.col("l_partkey").alias("chem"),
         F.col("l_quantity").alias("duration"),

@@ -37,7 +37,8 @@ def long_rows(obs: DataFrame, specs=MODEL_SPECS) -> DataFrame:
         g = F.lit(0).cast("bigint") if factor is None else F.col(factor).cast("bigint")
         entries.append(F.struct(F.lit(setting).alias("setting"), F.lit(model).alias("model"),
                                 g.alias("g"), F.col(fold).alias("f"), F.col(inner).alias("j")))
-    return obs.select("idx", "y", F.explode(F.array(*entries)).alias("s")).select("s.*", "idx", "y")
+    keep = [c for c in ("idx", "y") if c in obs.columns]
+    return obs.select(*keep, F.explode(F.array(*entries)).alias("s")).select("s.*", *keep)
 
 
 def model_cells(obs: DataFrame) -> DataFrame:
@@ -89,12 +90,12 @@ def holdout_predictions(obs: DataFrame, cells: DataFrame, best: DataFrame) -> Da
 # --- registered queries --------------------------------------------------------
 
 def q_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid_scores(model_cells(observations(spark, sf_dir)))
+    g = grid_scores(model_cells(observations(spark, sf_dir, index=False)))
     return g.select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
 
 
 def q_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = best_alphas(grid_scores(model_cells(observations(spark, sf_dir))))
+    best = best_alphas(grid_scores(model_cells(observations(spark, sf_dir, index=False))))
     return best.select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
 
 
@@ -108,7 +109,7 @@ def q_predict_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_holdout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: nested-CV α choice → holdout → pooled RMSE, model × setting."""
-    cells = model_cells(observations(spark, sf_dir))
+    cells = model_cells(observations(spark, sf_dir, index=False))
     pooled = pooled_rmse(holdout_scores(cells, best_alphas(grid_scores(cells))))
     wide = pivot_matrix(pooled.select("model", "setting", F.round("rmse", 6).alias("rmse")),
                         ["model"], "setting", "rmse", ["setting1", "setting2"])
@@ -117,7 +118,7 @@ def q_holdout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training mean per (setting, outer fold)."""
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     specs = [s for s in MODEL_SPECS if s[1] == "LM0"]
     cells = cell_stats(long_rows(obs, specs), ["setting", "model", "g", "f"])
     outer = split_stats(cells, ["setting"], "f", K_FOLDS)
@@ -128,7 +129,7 @@ def q_fit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fit_shrunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (setting, model, fold, group) prediction at a fixed α = 10."""
-    obs = observations(spark, sf_dir)
+    obs = observations(spark, sf_dir, index=False)
     specs = [s for s in MODEL_SPECS if s[2] is not None]
     cells = cell_stats(long_rows(obs, specs), ["setting", "model", "g", "f"])
     outer = split_stats(cells, ["setting", "model", "g"], "f", K_FOLDS).withColumn("alpha", F.lit(10.0))
