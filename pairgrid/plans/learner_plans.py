@@ -92,8 +92,8 @@ def q_fit_ridge_interactions(spark, sf_dir):
 
 def q_fit_forest(spark, sf_dir):
     rows, _, _ = design_rows(spark, sf_dir, "LM4", "setting1")
-    p = holdout(rows, lambda tr: L.fit_forest(tr, n_estimators=40, max_features=0.25, max_samples=0.5,
-                                              min_leaf=1, max_depth=10))
+    p = holdout(rows, lambda tr: L.fit_forest(tr, n_estimators=20, max_features=0.25, max_samples=0.5,
+                                              min_leaf=1, max_depth=8))
     return fold_report(p, "RF", "setting1")
 
 
@@ -101,7 +101,7 @@ def q_fit_boosted(spark, sf_dir):
     """R6 with early stopping on a hashed 10% validation share of each training set."""
     rows, _, _ = design_rows(spark, sf_dir, "LM4", "setting1")
     rows = rows.withColumn("is_val", hash_share(F.col("idx").cast("string"), "gbt-val") < 0.1)
-    p = holdout(rows, lambda tr: L.fit_boosted(tr, nrounds=60, tree_depth=5, subsample=0.75,
+    p = holdout(rows, lambda tr: L.fit_boosted(tr, nrounds=40, tree_depth=4, subsample=0.75,
                                                validation="is_val"))
     return fold_report(p, "XGB", "setting1")
 
@@ -113,11 +113,11 @@ def q_boosted_early_stop(spark, sf_dir):
     for o in range(1, K_FOLDS + 1):
         tr = rows.filter(F.col("fold") != o)
         val = hash_share(F.col("idx").cast("string"), "gbt-val") < 0.2
-        model = L.fit_boosted(tr.filter(~val), nrounds=60, tree_depth=5, subsample=0.75)
+        model = L.fit_boosted(tr.filter(~val), nrounds=25, tree_depth=4, subsample=0.75)
         rmse = L.boosted_curve(model, tr.filter(val))
         curves += [(o, r + 1, float(v)) for r, v in enumerate(rmse)]
     cdf = spark.createDataFrame(curves, "o int, round int, rmse double")
-    stop = G.early_stop_round(cdf, ["o"], 5)
+    stop = G.early_stop_round(cdf, ["o"], 3)
     best = G.curve_argmin(cdf, ["o"])
     return stop.join(best, "o").select("o", "stop_round", "best_round", F.round("best_score", 6).alias("best_score"))
 
