@@ -184,7 +184,7 @@ def q_patch_value(spark, sf_dir):
 
 def q_log10_target(spark, sf_dir):
     o = C.log10_target(load(spark, sf_dir, "lineitem"), "l_extendedprice", "y")
-    return o.select("l_orderkey", "l_linenumber", "l_partkey", F.round("y", 9).alias("y"))
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", F.round("y", 6).alias("y"))
 
 
 # Share of rows a duration value needs to become a bin edge (the reference
@@ -364,7 +364,7 @@ def q_write_fold_sets(spark, sf_dir):
     K.write_fold_sets(long, path)
     # partition pruning: only the setting2/fold=3 folder is read
     return spark.read.parquet(path).filter((F.col("setting") == "setting2") & (F.col("fold") == 3)) \
-                .select("idx", F.round("y", 9).alias("y"), "setting", "fold")
+                .select("idx", F.round("y", 6).alias("y"), "setting", "fold")
 
 
 def q_append_log(spark, sf_dir):
@@ -473,7 +473,7 @@ ORACLES = {
     "patch_value": with_sql(RAW_CHEMICALS_SQL)
     + "SELECT cas_number, CASE WHEN chemical_name = 'small ring' THEN 'small ring (fixed)' ELSE chemical_name END "
       "AS chemical_name FROM chemicals",
-    "log10_target": "SELECT l_orderkey, l_linenumber, l_partkey, round(log10(l_extendedprice), 9) AS y FROM lineitem",
+    "log10_target": "SELECT l_orderkey, l_linenumber, l_partkey, round(log10(l_extendedprice), 6) AS y FROM lineitem",
     "cut_right_closed": with_sql(OBS_SQL, EDGES_SQL) + "SELECT idx, dur_bin FROM binned",
     "data_driven_edges": with_sql(OBS_SQL, EDGES_SQL)
     + "SELECT l.edge_no, l.edge, coalesce(c.n, 0) AS n_rows FROM edge_list l "
@@ -518,7 +518,7 @@ ORACLES = {
         "SELECT model, setting, fold, alpha, round(round(rmse, 6), 6) AS rmse FROM grid"),
     "scan_params": SM.ORACLES["best_per_group"],
     "write_table": with_sql(*CUR_CTES) + f"SELECT {_CUR_COLS_SQL} FROM cur",
-    "write_fold_sets": with_sql(OBS_SQL) + "SELECT idx, round(y, 9) AS y, 'setting2' AS setting, fold2 AS fold "
+    "write_fold_sets": with_sql(OBS_SQL) + "SELECT idx, round(y, 6) AS y, 'setting2' AS setting, fold2 AS fold "
                                            "FROM obs WHERE fold2 = 3",
     "append_log": SM.ORACLES["grid_search"].replace(
         "SELECT setting, model, fold, alpha, round(rmse, 6) AS rmse FROM grid",

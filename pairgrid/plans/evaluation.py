@@ -64,7 +64,7 @@ def q_coverage_density(spark, sf_dir):
 
 def q_mean_log_by_pair(spark, sf_dir):
     m = G.mean_log_by_pair(observations(spark, sf_dir, index=False), "chem", "species", "value")
-    return m.select("chem", "species", F.round("mean_log", 9).alias("mean_log"))
+    return m.select("chem", "species", F.round("mean_log", 6).alias("mean_log"))
 
 
 def q_describe_counts(spark, sf_dir):
@@ -224,7 +224,7 @@ def q_reindex_grid(spark, sf_dir):
     sub = semi_membership(semi_membership(obs, chems, "chem"), species, "species")
     vals = G.mean_log_by_pair(sub, "species", "chem", "value")
     out = W.reindex_grid(vals, species, chems, "species", "chem", "mean_log")
-    return out.select("species", "chem", F.round("mean_log", 9).alias("mean_log"))
+    return out.select("species", "chem", F.round("mean_log", 6).alias("mean_log"))
 
 
 def q_order_output(spark, sf_dir):
@@ -378,7 +378,7 @@ ORACLES = {
       "count(DISTINCT (chem, species)) AS n_pairs, round(count(DISTINCT (chem, species)) * 100.0 / "
       "(count(DISTINCT chem) * count(DISTINCT species)), 6) AS density_pct FROM obs",
     "mean_log_by_pair": with_sql(OBS_SQL)
-    + "SELECT chem, species, round(avg(log10(value)), 9) AS mean_log FROM obs GROUP BY ALL",
+    + "SELECT chem, species, round(avg(log10(value)), 6) AS mean_log FROM obs GROUP BY ALL",
     "describe_counts": with_sql(OBS_SQL) + """
 SELECT count(n) AS count, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, round(CAST(min(n) AS DOUBLE), 6) AS min,
        round(quantile_cont(n, 0.25), 6) AS q25, round(quantile_cont(n, 0.5), 6) AS q50,
@@ -453,7 +453,7 @@ sps AS (SELECT species FROM (SELECT species FROM cs ORDER BY n DESC, species LIM
         UNION SELECT species FROM (SELECT species FROM cs ORDER BY n ASC, species DESC LIMIT 5)),
 vals AS (SELECT species, chem, avg(log10(value)) AS mean_log FROM obs
          WHERE chem IN (SELECT chem FROM chems) AND species IN (SELECT species FROM sps) GROUP BY ALL)
-SELECT s.species, c.chem, round(v.mean_log, 9) AS mean_log FROM sps s CROSS JOIN chems c
+SELECT s.species, c.chem, round(v.mean_log, 6) AS mean_log FROM sps s CROSS JOIN chems c
 LEFT JOIN vals v ON v.species = s.species AND v.chem = c.chem""",
     "order_output": with_sql(OBS_SQL) + "SELECT species, count(*) AS n FROM obs GROUP BY species ORDER BY n DESC, species",
     "sample_rows": _PRED

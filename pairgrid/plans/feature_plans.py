@@ -47,12 +47,12 @@ def q_key_fingerprint(spark, sf_dir):
 def q_scale_fingerprint(spark, sf_dir):
     fp = D.chem_fingerprint(spark, sf_dir, observations(spark, sf_dir))
     s = log_ratio_scale(fp, "bit", "cnt", "val")
-    return s.select("chem", "bit", F.round("val", 9).alias("val"))
+    return s.select("chem", "bit", F.round("val", 6).alias("val"))
 
 
 def q_log_ratio_scale(spark, sf_dir):
     s = log_ratio_scale(doc_fingerprint(spark, sf_dir), "bit", "cnt", "val")
-    return s.select("doc_id", "bit", F.round("val", 9).alias("val"))
+    return s.select("doc_id", "bit", F.round("val", 6).alias("val"))
 
 
 def q_all_zero_rows(spark, sf_dir):
@@ -81,7 +81,7 @@ def q_field_map(spark, sf_dir):
 def q_interaction_terms(spark, sf_dir):
     c = D.coded_observations(spark, sf_dir)
     it = FT.interaction_terms(c.rows, "idx", "sp_code", "chem", c.fp, D.N_BITS)
-    return it.select("idx", "feature", F.round("val", 9).alias("val"))
+    return it.select("idx", "feature", F.round("val", 6).alias("val"))
 
 
 def lm4_vectors(spark, sf_dir):
@@ -111,7 +111,7 @@ def q_stack_blocks(spark, sf_dir):
 def q_to_long_sparse(spark, sf_dir):
     _, vec, _ = lm4_vectors(spark, sf_dir)
     lg = FT.to_long_sparse(vec, "idx", "features")
-    return lg.select("idx", "feature", F.round("val", 9).alias("val"))
+    return lg.select("idx", "feature", F.round("val", 6).alias("val"))
 
 
 def q_join_left_features(spark, sf_dir):
@@ -274,9 +274,9 @@ ORACLES = {
     "hashed_count_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL) + "SELECT chem, bit, cnt FROM fp",
     "hashed_count_fingerprint_docs": with_sql(DOC_FP_SQL) + "SELECT doc_id, bit, cnt FROM dfp",
     "key_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, KEYS_SQL) + "SELECT chem, bit FROM keys",
-    "scale_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL) + "SELECT chem, bit, round(val, 9) AS val FROM fps",
+    "scale_fingerprint": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL) + "SELECT chem, bit, round(val, 6) AS val FROM fps",
     "log_ratio_scale": with_sql(DOC_FP_SQL)
-    + "SELECT doc_id, bit, round(ln(1 + cnt) / max(ln(1 + cnt)) OVER (PARTITION BY bit), 9) AS val FROM dfp",
+    + "SELECT doc_id, bit, round(ln(1 + cnt) / max(ln(1 + cnt)) OVER (PARTITION BY bit), 6) AS val FROM dfp",
     "all_zero_rows": with_sql(OBS_SQL, CHEM_TEXT_SQL, KEYS_SQL)
     + "SELECT DISTINCT chem FROM ctext WHERE chem NOT IN (SELECT chem FROM keys)",
     "all_zero_columns": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL)
@@ -290,12 +290,12 @@ ORACLES = {
               WHEN f < ns + nc + nb THEN 2 ELSE 3 END AS INTEGER) AS field
           FROM sizes, range(0, ns + nc + nb + {D.N_BITS}) t(f)""",
     "interaction_terms": with_sql(*_FEAT_BASE)
-    + f"SELECT c.idx, CAST(c.sp_code * {D.N_BITS} + f.bit AS INTEGER) AS feature, round(f.val, 9) AS val "
+    + f"SELECT c.idx, CAST(c.sp_code * {D.N_BITS} + f.bit AS INTEGER) AS feature, round(f.val, 6) AS val "
       "FROM codes c JOIN fps f USING (chem)",
     "stack_blocks": with_sql(*_FEAT_BASE, DESIGN4_SQL)
     + f"SELECT idx, CAST(max(ns + nc + nb + {D.N_BITS}) AS INTEGER) AS width, CAST(count(*) AS INTEGER) AS nnz, "
       "round(sum(val), 6) AS total FROM design, sizes GROUP BY idx",
-    "to_long_sparse": with_sql(*_FEAT_BASE, DESIGN4_SQL) + "SELECT idx, feature, round(val, 9) AS val FROM design",
+    "to_long_sparse": with_sql(*_FEAT_BASE, DESIGN4_SQL) + "SELECT idx, feature, round(val, 6) AS val FROM design",
     "join_left_features": with_sql(OBS_SQL, CHEM_TEXT_SQL, FP_SQL)
     + "SELECT o.idx, count(f.bit) AS n_bits, coalesce(sum(f.cnt), 0) AS n_tokens FROM obs o "
       "LEFT JOIN fp f USING (chem) GROUP BY o.idx",

@@ -119,7 +119,8 @@ def q_boosted_early_stop(spark, sf_dir):
     cdf = spark.createDataFrame(curves, "o int, round int, rmse double")
     stop = G.early_stop_round(cdf, ["o"], 3)
     best = G.curve_argmin(cdf, ["o"])
-    return stop.join(best, "o").select("o", "stop_round", "best_round", F.round("best_score", 6).alias("best_score"))
+    return stop.select("o", "stop_round").join(best, "o").select(
+        "o", "stop_round", "best_round", F.round("best_score", 6).alias("best_score"))
 
 
 def q_fit_fm(spark, sf_dir):
@@ -145,7 +146,7 @@ def ffm_tables(spark, sf_dir):
 def q_score_ffm(spark, sf_dir):
     lg, factors, linear = ffm_tables(spark, sf_dir)
     s = M.score_ffm(lg, factors, linear, 4.0)
-    return s.select("idx", F.round("y_pred", 9).alias("y_pred"))
+    return s.select("idx", F.round("y_pred", 6).alias("y_pred"))
 
 
 def q_fit_ffm(spark, sf_dir):
@@ -256,7 +257,7 @@ lsum AS (SELECT idx, sum(w * val) AS lin FROM fld JOIN lin USING (feature) GROUP
 
 ORACLES = {
     "score_ffm": with_sql(OBS_SQL, EDGES_SQL, CHEM_TEXT_SQL, FP_SQL, CODES_SQL, DESIGN4_SQL, _FFM_SQL)
-    + "SELECT l.idx, round(4.0 + l.lin + coalesce(p.inter, 0), 9) AS y_pred FROM lsum l LEFT JOIN pairs p USING (idx)",
+    + "SELECT l.idx, round(4.0 + l.lin + coalesce(p.inter, 0), 6) AS y_pred FROM lsum l LEFT JOIN pairs p USING (idx)",
     "grid_refine": with_sql(OBS_SQL, SM.LONG_SQL, SM.GRID_SQL) + """,
 ra AS (SELECT setting, model, fold AS o, alpha * f AS alpha FROM best, (SELECT unnest(""" + repr(REFINE_FACTORS) + """) AS f)),
 rtr AS (SELECT l.setting, l.model, s.o, s.i, l.g, count(*) AS n, sum(l.y) AS sy
