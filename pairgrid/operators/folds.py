@@ -143,8 +143,18 @@ def leakage_check(df: DataFrame, keys: Sequence[str], fold: str = "fold") -> Dat
 
 
 def _one_row_pair(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two one-row aggregates side by side (an equi-join on a constant key)."""
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Put two one-row aggregates side by side: stack them as structs and take
+    the non-NULL one of each (a two-row aggregate, no join)."""
+    sa = F.struct(*[F.col(c) for c in a.columns])
+    sb = F.struct(*[F.col(c) for c in b.columns])
+    u = (a.select(sa.alias("_a"), F.lit(None).cast(_struct_type(b)).alias("_b"))
+          .unionByName(b.select(F.lit(None).cast(_struct_type(a)).alias("_a"), sb.alias("_b"))))
+    r = u.agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return r.select("_a.*", "_b.*")
+
+
+def _struct_type(df: DataFrame):
+    return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).schema["s"].dataType
 
 
 def split_cells(df: DataFrame, a: str, b: str, share: float = 0.2, salt: str = "cells", out: str = "is_test") -> DataFrame:

@@ -136,9 +136,8 @@ def q_variance_decomposition(spark, sf_dir):
         F.max(F.when(F.col("model") == "LM0", F.col("rmse"))).alias("rmse_null"),
         F.max(F.when(F.col("model") == "LM1", F.col("rmse"))).alias("rmse_means"),
         F.min("rmse").alias("rmse_best"))
-    nf = noise_floor(obs)
-    # the noise floor is a single aggregate row
-    wide = wide.withColumn("_one", F.lit(1)).join(nf.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # the noise floor is one number: read back and used as a literal
+    wide = wide.withColumn("noise", F.lit(noise_floor(obs).first()["noise"]))
     v = G.variance_decomposition(wide, "rmse_null", "rmse_means", "rmse_best", "noise")
     return v.select("setting", *[_r6(c) for c in ["rmse_null", "rmse_means", "rmse_best", "noise", "share_means",
                                                    "share_interactions", "share_possible", "share_noise"]])
