@@ -140,12 +140,12 @@ def ffm_tables(spark, sf_dir):
     bounds = F.array(*[F.lit(sum(sizes[: i + 1])) for i in range(len(sizes))])
     lg = lg.withColumn("field", F.size(F.filter(bounds, lambda b: b <= F.col("feature"))))
     feats = spark.range(width).select(F.col("id").cast("int").alias("feature"))
-    return lg, M.hashed_factors(feats, len(names), FFM_K), M.hashed_linear(feats)
+    return lg, M.hashed_factors(feats, len(names), FFM_K), M.hashed_linear(feats), width * len(names) * FFM_K
 
 
 def q_score_ffm(spark, sf_dir):
-    lg, factors, linear = ffm_tables(spark, sf_dir)
-    s = M.score_ffm(lg, factors, linear, 4.0)
+    lg, factors, linear, n_factor_rows = ffm_tables(spark, sf_dir)
+    s = M.score_ffm(lg, factors, linear, 4.0, factor_rows=n_factor_rows)
     return s.select("idx", F.round("y_pred", 6).alias("y_pred"))
 
 
