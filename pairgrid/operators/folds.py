@@ -14,13 +14,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairgrid.functions.columns import hash_fold, hash_share, pair_key
+from pairgrid.functions.columns import hash_fold, hash_share, int_fold, pair_key
 
 
 def _key(keys: Sequence[str]):
     return pair_key(keys) if len(keys) > 1 else F.col(keys[0]).cast("string")
 
 
+_INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
+
+
+def _hash_fold(df: DataFrame, keys: Sequence[str], k: int, salt: str = ""):
+    """V2 fold: arithmetic hash for integer keys, md5 of the joined key otherwise."""
+    types = dict(df.dtypes)
+    if all(types[c] in _INTEGRAL for c in keys):
+        return int_fold([F.col(c) for c in keys], k, salt)
+    return hash_fold(_key(keys), k, salt)
+
+
 def greedy_assign(counts: pd.DataFrame, k: int, key: str = "key", n: str = "n") -> pd.DataFrame:
     """Largest group first, each to the currently lightest fold (lowest fold on ties).
 
@@ -52,7 +63,7 @@ def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5, method: str = "
         # user splitter (Y4): a function (key Column, k) → fold Column
         return df.withColumn(out, method(_key(keys), k).cast("int"))
     if method == "hash":
-        return df.withColumn(out, hash_fold(_key(keys), k, salt))
+        return df.withColumn(out, _hash_fold(df, keys, k, salt))
     if method != "greedy":
         raise ValueError(method)
     kcol = "_gkey"
@@ -110,7 +121,7 @@ def nested_folds(df: DataFrame, keys: Sequence[str], fold: str = "fold", k: int
     outer = F.explode(F.filter(F.array(*[F.lit(o) for o in range(1, k + 1)]), lambda o: o != F.col(fold)))
     rows = d.select("*", outer.alias("outer"))
     if method == "hash":
-        return rows.withColumn("inner", hash_fold(F.col(kcol), k_inner, salt)).drop(kcol)
+        return rows.withColumn("inner", _hash_fold(df, keys, k_inner, salt)).drop(kcol)
     counts = rows.groupBy("outer", kcol).agg(F.count(F.lit(1)).alias("_n"))
     # heaviest max_groups per outer set (a per-partition-limited window) go greedy, the rest hash
     rank = F.row_number().over(Window.partitionBy("outer").orderBy(F.col("_n").desc(), F.col(kcol).asc()))

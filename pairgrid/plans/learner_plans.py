@@ -246,13 +246,15 @@ fac AS (SELECT f.feature, t.tf AS tfield, p.pos,
                  CAST(p.pos AS VARCHAR)), '#ffm')), 1, 8)) AS BIGINT) / 4294967296.0 - 0.5) * ({0.5 / FFM_K ** 0.5!r}) AS v
         FROM feats f, (SELECT CAST(range AS INTEGER) AS tf FROM range(0, 4)) t,
              (SELECT CAST(range AS INTEGER) AS pos FROM range(0, {FFM_K})) p),
+facl AS MATERIALIZED (SELECT feature, tfield, list(v ORDER BY pos) AS vl FROM fac GROUP BY feature, tfield),
 lin AS (SELECT feature, (CAST(('0x' || substr(md5(concat(CAST(feature AS VARCHAR), '#ffm-w')), 1, 8)) AS BIGINT)
                          / 4294967296.0 - 0.5) * 0.1 AS w FROM feats),
-pairs AS (SELECT a.idx, sum(fa.v * fb.v * a.val * b.val) AS inter
-          FROM fld a JOIN fld b ON a.idx = b.idx AND a.feature < b.feature
-          JOIN fac fa ON fa.feature = a.feature AND fa.tfield = b.field
-          JOIN fac fb ON fb.feature = b.feature AND fb.tfield = a.field AND fb.pos = fa.pos
-          GROUP BY a.idx),
+pr AS MATERIALIZED (SELECT a.idx, a.feature AS fa_, a.field AS la, a.val AS xa, b.feature AS fb_, b.field AS lb, b.val AS xb
+                    FROM fld a JOIN fld b ON a.idx = b.idx AND a.feature < b.feature),
+pa AS MATERIALIZED (SELECT pr.*, va.vl AS vla FROM pr JOIN facl va ON va.feature = pr.fa_ AND va.tfield = pr.lb),
+pairs AS (SELECT pa.idx, sum(list_dot_product(pa.vla, vb.vl) * pa.xa * pa.xb) AS inter
+          FROM pa JOIN facl vb ON vb.feature = pa.fb_ AND vb.tfield = pa.la
+          GROUP BY pa.idx),
 lsum AS (SELECT idx, sum(w * val) AS lin FROM fld JOIN lin USING (feature) GROUP BY idx)"""
 
 ORACLES = {

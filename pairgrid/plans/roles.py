@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrid.functions.columns import hash_fold, pair_key
+from pairgrid.functions.columns import int_fold, int_fold_sql
 from pairgrid.operators.reshape import global_row_index
 from pairgrid.session import table_path
 
@@ -76,24 +76,23 @@ def observations(spark: SparkSession, sf_dir: str, index: bool = True) -> DataFr
 
 def with_folds(obs: DataFrame, k: int = K_FOLDS) -> DataFrame:
     """Attach hash folds: setting1 groups pairs, setting2 groups chemicals."""
-    pair = pair_key(["chem", "species"])
-    chem = F.col("chem").cast("string")
+    pair = [F.col("chem"), F.col("species")]
+    chem = [F.col("chem")]
     return obs.select(
         "*",
-        hash_fold(pair, k).alias("fold1"),
-        hash_fold(chem, k).alias("fold2"),
-        hash_fold(pair, k, INNER_SALT).alias("inner1"),
-        hash_fold(chem, k, INNER_SALT).alias("inner2"),
+        int_fold(pair, k).alias("fold1"),
+        int_fold(chem, k).alias("fold2"),
+        int_fold(pair, k, INNER_SALT).alias("inner1"),
+        int_fold(chem, k, INNER_SALT).alias("inner2"),
     )
 
 
-def _duck_fold(key_sql: str, k: int = K_FOLDS, salt: str = "") -> str:
-    src = key_sql if not salt else f"concat({key_sql}, '#{salt}')"
-    return f"(CAST(('0x' || substr(md5({src}), 1, 8)) AS BIGINT) % {k} + 1)::INTEGER"
+def _duck_fold(key_cols: list[str], k: int = K_FOLDS, salt: str = "") -> str:
+    return int_fold_sql(key_cols, k, salt)
 
 
-_PAIR_SQL = "concat_ws('|', CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))"
-_CHEM_SQL = "CAST(l_partkey AS VARCHAR)"
+_PAIR_SQL = ["l_partkey", "l_suppkey"]
+_CHEM_SQL = ["l_partkey"]
 
 OBS_SQL = (LI_SQL, f"""
 obs AS (

@@ -82,3 +82,23 @@ def test_cross_grid_legal_pairs(spark):
     g = C.cross_grid(spark, {"model": ["A", "B"], "setting": ["s1", "s2"], "alpha": [1.0, 2.0]}, legal)
     assert g.count() == 4
     assert {(r.setting, r.model) for r in g.collect()} == {("s1", "A"), ("s2", "B")}
+
+
+def test_int_hash_matches_duckdb(spark):
+    import duckdb
+    import numpy as np
+    from pairgrid.functions.columns import HASH_P, int_fold, int_fold_sql, int_hash, int_hash_sql
+    rng = np.random.default_rng(3)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 2**40, 300), rng.integers(0, 10**6, 300))]
+    rows += [(0, 0), (HASH_P, HASH_P - 1), (2**62, 7)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = df.select("a", "b", int_hash([F.col("a"), F.col("b")], "s").alias("h"),
+                    int_fold([F.col("a")], 5, "inner").alias("f")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (a BIGINT, b BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    exp = {(a, b): (h, f) for a, b, h, f in con.execute(
+        f"SELECT a, b, {int_hash_sql(['a', 'b'], 's')}, {int_fold_sql(['a'], 5, 'inner')} FROM t").fetchall()}
+    assert all(exp[(r.a, r.b)] == (r.h, r.f) for r in got)
+    folds = [r.f for r in got]
+    assert set(folds) == {1, 2, 3, 4, 5}
