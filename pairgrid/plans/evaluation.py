@@ -20,9 +20,7 @@ from pairgrid.plans.roles import (
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    cells = SM.model_cells(obs)
-    return SM.holdout_predictions(obs, cells, SM.best_alphas(SM.grid_scores(cells)))
+    return SM.predictions(spark, sf_dir)
 
 
 def _r6(c: str):

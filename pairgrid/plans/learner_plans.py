@@ -172,9 +172,7 @@ def q_fit_hidden_layer(spark, sf_dir):
 
 def all_predictions(spark, sf_dir) -> DataFrame:
     """Closed-form family ∪ ridge family, one long prediction table."""
-    obs = observations(spark, sf_dir)
-    cells = SM.model_cells(obs)
-    cf = SM.holdout_predictions(obs, cells, SM.best_alphas(SM.grid_scores(cells)))
+    cf = SM.predictions(spark, sf_dir)
     c = D.coded_observations(spark, sf_dir)
     ridge = [ridge_predictions(spark, sf_dir, m, s, coded=c).select(
         F.lit(m).alias("model"), F.lit(s).alias("setting"), "fold", "index", "y_pred", "y")

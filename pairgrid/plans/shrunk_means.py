@@ -99,10 +99,16 @@ def q_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
 
 
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11 per-row predictions: the grid runs on index-free cells (one scan,
+    cells shuffle reused by the nested and outer splits); only the per-row
+    output reads the indexed observations."""
+    cells = model_cells(observations(spark, sf_dir, index=False))
+    return holdout_predictions(observations(spark, sf_dir), cells, best_alphas(grid_scores(cells)))
+
+
 def q_predict_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    cells = model_cells(obs)
-    p = holdout_predictions(obs, cells, best_alphas(grid_scores(cells)))
+    p = predictions(spark, sf_dir)
     return p.select("model", "setting", "fold", "index", F.round("y_pred", 6).alias("y_pred"),
                     F.round("y", 6).alias("y"))
 
