@@ -113,7 +113,7 @@ def q_boosted_early_stop(spark, sf_dir):
     for o in range(1, K_FOLDS + 1):
         tr = rows.filter(F.col("fold") != o)
         val = hash_share(F.col("idx").cast("string"), "gbt-val") < 0.2
-        model = L.fit_boosted(tr.filter(~val), nrounds=25, tree_depth=4, subsample=0.75)
+        model = L.fit_boosted(tr.filter(~val), nrounds=15, tree_depth=3, subsample=0.75)
         rmse = L.boosted_curve(model, tr.filter(val))
         curves += [(o, r + 1, float(v)) for r, v in enumerate(rmse)]
     cdf = spark.createDataFrame(curves, "o int, round int, rmse double")
