@@ -128,7 +128,7 @@ def noise_floor(obs: DataFrame) -> DataFrame:
 
 def q_variance_decomposition(spark, sf_dir):
     obs = observations(spark, sf_dir, index=False)
-    cells = SM.model_cells(obs)
+    cells = SM.materialized_cells(spark, sf_dir)
     pooled = SM.pooled_rmse(SM.holdout_scores(cells, SM.best_alphas(SM.grid_scores(cells))))
     wide = pooled.groupBy("setting").agg(
         F.max(F.when(F.col("model") == "LM0", F.col("rmse"))).alias("rmse_null"),

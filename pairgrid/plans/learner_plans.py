@@ -211,7 +211,7 @@ def refine_grid(cells: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def q_grid_refine(spark, sf_dir):
-    cells = SM.model_cells(observations(spark, sf_dir))
+    cells = SM.materialized_cells(spark, sf_dir)
     r = refine_grid(cells, SM.best_alphas(SM.grid_scores(cells)))
     return r.select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
 

@@ -16,6 +16,7 @@ from pairgrid.operators.models.closed_form import (
     ALPHA_GRID, SCORE_DIGITS, cell_stats, group_predictions, score_shrunk_mean, split_stats)
 from pairgrid.operators.reshape import best_per_group, pivot_matrix
 from pairgrid.plans.roles import K_FOLDS, OBS_SQL, observations, with_sql
+from pairgrid.session import ensure_checkpoint_dir
 
 # Legal (setting, model, factor) triples; setting2 holds out whole
 # chemicals, so a chemical-only model has nothing to learn there.
@@ -45,6 +46,18 @@ def model_cells(obs: DataFrame) -> DataFrame:
     return cell_stats(long_rows(obs), ["setting", "model", "g", "f", "j"])
 
 
+def materialized_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold cells written once to the shared checkpoint folder.
+
+    Every plan below reads the cells more than once (nested grid, outer
+    holdout, intercepts). The cells are small — at most 25 per group and
+    model — so a reliable checkpoint is cheap, cuts the lineage back to the
+    scan, and makes the reuse independent of the planner.
+    """
+    ensure_checkpoint_dir(spark)
+    return model_cells(observations(spark, sf_dir, index=False)).checkpoint(eager=True)
+
+
 def grid_scores(cells: DataFrame, alphas=ALPHA_GRID) -> DataFrame:
     """Score of every (setting, model, outer fold, α) = mean inner-fold RMSE."""
     nested = split_stats(cells, ["setting", "model", "g"], "f", K_FOLDS, "j", K_FOLDS)
@@ -103,7 +116,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R11 per-row predictions: the grid runs on index-free cells (one scan,
     cells shuffle reused by the nested and outer splits); only the per-row
     output reads the indexed observations."""
-    cells = model_cells(observations(spark, sf_dir, index=False))
+    cells = materialized_cells(spark, sf_dir)
     return holdout_predictions(observations(spark, sf_dir), cells, best_alphas(grid_scores(cells)))
 
 
@@ -115,7 +128,7 @@ def q_predict_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_holdout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: nested-CV α choice → holdout → pooled RMSE, model × setting."""
-    cells = model_cells(observations(spark, sf_dir, index=False))
+    cells = materialized_cells(spark, sf_dir)
     pooled = pooled_rmse(holdout_scores(cells, best_alphas(grid_scores(cells))))
     wide = pivot_matrix(pooled.select("model", "setting", F.round("rmse", 6).alias("rmse")),
                         ["model"], "setting", "rmse", ["setting1", "setting2"])
