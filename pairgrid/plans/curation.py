@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from pairgrid.functions.columns import cut_right_closed, format_registry_number, pair_key, parse_number, strip_suffix
 from pairgrid.operators import curate as C
-from pairgrid.operators.reshape import best_per_group
 from pairgrid.plans import shrunk_means as SM
 from pairgrid.plans.roles import (
     OBS_SQL, RAW_CHEMICALS_SQL, RAW_REFERENCES_SQL, RAW_RESULTS_SQL, RAW_SPECIES_SQL, RAW_TESTS_SQL, load,

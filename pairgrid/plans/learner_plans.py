@@ -23,7 +23,7 @@ from pairgrid.plans import design as D
 from pairgrid.plans import shrunk_means as SM
 from pairgrid.plans.curation import EDGES_SQL
 from pairgrid.plans.feature_plans import CHEM_TEXT_SQL, CODES_SQL, DESIGN4_SQL, FP_SQL
-from pairgrid.plans.roles import K_FOLDS, OBS_SQL, observations, with_sql
+from pairgrid.plans.roles import K_FOLDS, OBS_SQL, with_sql
 from pairgrid.session import ensure_checkpoint_dir
 
 FOLD_COL = {"setting1": "fold1", "setting2": "fold2"}
