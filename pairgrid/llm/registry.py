@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import bpe, decontaminate, line_dedup, sharding
 
 QUERIES = {
+    "op2_winnow_lines": line_dedup.op2_winnow_lines,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_feistel_shards": sharding.op7_feistel_shards,
+    "op10_trie_bpe": bpe.op10_trie_bpe,
 }
 ORACLES = {
+    "op2_winnow_lines": line_dedup.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
 }
