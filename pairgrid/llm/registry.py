@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, sharding, suffix_dedup
+from . import bpe, decontaminate, jaccard_join, line_dedup, sharding, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_winnow_lines": line_dedup.op2_winnow_lines,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_feistel_shards": sharding.op7_feistel_shards,
+    "op9_lsh_forest": jaccard_join.op9_lsh_forest,
     "op10_trie_bpe": bpe.op10_trie_bpe,
 }
 ORACLES = {
