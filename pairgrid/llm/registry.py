@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, sharding, suffix_dedup
+from . import bpe, decontaminate, jaccard_join, line_dedup, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_winnow_lines": line_dedup.op2_winnow_lines,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_toxicity_chain": toxicity.op6_toxicity_chain,
     "op7_feistel_shards": sharding.op7_feistel_shards,
     "op9_lsh_forest": jaccard_join.op9_lsh_forest,
     "op10_trie_bpe": bpe.op10_trie_bpe,
