@@ -63,6 +63,14 @@ class WordBpe:
         self.last = {t[: -len(self.end)]: i for t, i in vocab.items() if t.endswith(self.end)}
         self.longest = max(map(len, [*self.inner, *self.last]))
         self.width = {i: len(t) for kind in (self.inner, self.last) for t, i in kind.items()}
+        # states: the beginnings of inner tokens; a text is in that of its longest end among them
+        self.state = {"": 0}
+        for t in self.inner:
+            for i in range(1, len(t) + 1):
+                self.state.setdefault(t[:i], len(self.state))
+        self.beginning = list(self.state)
+        self.moves: dict[int, int] = {}
+        self.ending: list[tuple | None] = [None] * len(self.beginning)
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> left, right, rank
         for r, pair in enumerate(model["merges"]):
@@ -110,29 +118,48 @@ class WordBpe:
         """Whether the token is the encoding of its own string."""
         return token not in self.parts or not self.follows(*self.parts[token][:2])
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def _move(self, state: int, char: str, key: int) -> int:
+        text = self.beginning[state] + char
+        while text not in self.state:
+            text = text[1:]
+        self.moves[key] = found = self.state[text]
+        return found
+
+    def _ending(self, state: int) -> tuple:
+        """Tokens that end a state's text with their widths, the longest first."""
+        text = self.beginning[state]
+        self.ending[state] = found = tuple((self.inner[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.inner)
+        return found
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple]:
         """Token ids of each distinct word, along the depth-first order of their trie."""
-        chars, width, pairs, longest = self.bytes, self.width, self.pairs, self.longest
-        inner, last = self.inner.get, self.last.get
-        out: dict[str, list[int]] = {}
-        tokens, before, known = [0], "", 0  # last token of each prefix of the word before
+        chars, width, pairs, longest, last = self.bytes, self.width, self.pairs, self.longest, self.last
+        moves, ending = self.moves, self.ending
+        out: dict[str, tuple] = {}
+        tokens, states, before, known = [0], [0], "", 0  # last token and state of each prefix of the word before
         for s, word in sorted([("".join([chars[b] for b in w.encode()]), w) for w in words]):
             n = len(s)
             depth, most = 0, min(n - 1, known)
             while depth < most and s[depth] == before[depth]:
                 depth += 1
-            del tokens[depth + 1:]
+            del tokens[depth + 1:], states[depth + 1:]
+            now = states[depth]
             for i in range(depth + 1, n + 1):
-                kind = inner if i < n else last
-                for j in range(i - longest if i > longest else 0, i):
-                    t = kind(s[j:i])
-                    if t is not None:
-                        key = (tokens[j] << 20 | t) if j else ~t
-                        ok = pairs.get(key)
-                        if ok is None:
-                            ok = pairs[key] = self.follows(tokens[j], t) if j else self._own(t)
-                        if ok:
-                            break
+                if i < n:
+                    key = now << 17 | ord(s[i - 1])
+                    step = moves.get(key)
+                    now = self._move(now, s[i - 1], key) if step is None else step
+                    states.append(now)
+                    ends = ending[now] or self._ending(now)
+                else:
+                    ends = [(t, i - j) for j in range(max(0, i - longest), i) if (t := last.get(s[j:i])) is not None]
+                for t, w in ends:
+                    key = tokens[i - w] << 20 | t if i > w else ~t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = pairs[key] = self.follows(tokens[i - w], t) if i > w else self._own(t)
+                    if ok:
+                        break
                 else:
                     raise ValueError(f"no token ends {s[:i]!r}")
                 tokens.append(t)
@@ -141,7 +168,7 @@ class WordBpe:
             while i > 0:
                 ids.append(t := tokens[i])
                 i -= width[t]
-            out[word] = ids[::-1]
+            out[word] = tuple(ids[::-1])
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -168,31 +195,51 @@ class WordBpe:
         return " ".join([self.name[i] for i in ids])
 
 
+class Recent(dict):
+    """A bounded cache of two generations: what was not asked for since the last but one change is dropped."""
+
+    def __init__(self):
+        self.before: dict = {}
+
+    def missing(self, keys: Iterable) -> set:
+        """Keys that neither generation has; those of the older one come over."""
+        gone = {k for k in keys if k not in self}
+        back = gone & self.before.keys()
+        self.update({k: self.before[k] for k in back})
+        return gone - back
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
 _LOADED: dict[str, tuple] = {}
 
 
-def _loaded(text: str) -> tuple[WordBpe, dict, dict]:
+def _loaded(text: str) -> tuple[WordBpe, Recent, Recent]:
     """The vocabulary and the caches of this worker, made once: word -> ids, and
     chunk -> (ids, decimal ids, token strings)."""
     key = hashlib.sha256(text.encode()).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = WordBpe(text), {}, {}
+        _LOADED[key] = WordBpe(text), Recent(), Recent()
     return _LOADED[key]
 
 
 def _encoded(loaded, texts: list[str | None]) -> list[list[tuple]]:
     """The cache entries of each text's chunks, in order."""
     bpe, words, known = loaded
-    if len(known) > CHUNKS:
-        for cache in (words, known, bpe.pairs):
-            cache.clear()
+    words.age(CHUNKS)
+    known.age(CHUNKS)
+    if len(bpe.pairs) > 4 * CHUNKS:
+        bpe.pairs.clear()
     cut = [bpe.chunks(t) if t else [] for t in texts]
-    new = {c: bpe.words_of(c) for c in {c for chunks in cut for c in chunks if c not in known}}
-    fresh = {w for own in new.values() for w in own if w not in words}
-    words.update({w: [bpe.special[w]] for w in fresh & bpe.special.keys()})
+    new = {c: bpe.words_of(c) for c in known.missing({c for chunks in cut for c in chunks})}
+    fresh = words.missing({w for own in new.values() for w in own})
+    words.update({w: (bpe.special[w],) for w in fresh & bpe.special.keys()})
     words.update(bpe.encode_words(fresh - bpe.special.keys()))
     for c, own in new.items():
-        ids = [i for w in own for i in words[w]]
+        ids = words[own[0]] if len(own) == 1 else tuple([i for w in own for i in words[w]])
         known[c] = ids, " ".join(map(str, ids)), bpe.decode(ids)
     return [[known[c] for c in chunks] for chunks in cut]
 
