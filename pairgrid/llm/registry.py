@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, privacy, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard_join, line_dedup, privacy, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_toxicity_chain": toxicity.op6_toxicity_chain,
     "op7_feistel_shards": sharding.op7_feistel_shards,
+    "op8_iblt_fingerprints": fingerprint.op8_iblt_fingerprints,
     "op9_lsh_forest": jaccard_join.op9_lsh_forest,
     "op10_trie_bpe": bpe.op10_trie_bpe,
 }
