@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, jaccard_join, line_dedup, privacy, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard_join, line_dedup, main_text, privacy, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_winnow_lines": line_dedup.op2_winnow_lines,
     "op3_weak_privacy": privacy.op3_weak_privacy,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_consensus_paths": main_text.op5_consensus_paths,
     "op6_toxicity_chain": toxicity.op6_toxicity_chain,
     "op7_feistel_shards": sharding.op7_feistel_shards,
     "op8_iblt_fingerprints": fingerprint.op8_iblt_fingerprints,
