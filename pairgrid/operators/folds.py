@@ -7,14 +7,13 @@ back (greedy, V1). Nested folds (V4) are a second column per outer fold.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairgrid.functions.columns import hash_fold, hash_share, int_fold, pair_key
+from pairgrid.session import ensure_checkpoint_dir
 
 
 def _key(keys: Sequence[str]):
@@ -32,32 +31,43 @@ def _hash_fold(df: DataFrame, keys: Sequence[str], k: int, salt: str = ""):
     return hash_fold(_key(keys), k, salt)
 
 
-def greedy_assign(counts: pd.DataFrame, k: int, key: str = "key", n: str = "n") -> pd.DataFrame:
-    """Largest group first, each to the currently lightest fold (lowest fold on ties).
+def greedy_segments(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """Greedy folds of equal-sized groups at a time: (size, from, to, folds).
 
-    Groups are taken in (count desc, key asc) order. Works on group counts
-    only (one row per group), never on rows.
+    ``sizes`` holds (size, number of groups), the largest size first; each group goes
+    to the lightest fold (lowest fold on ties). With loads ``L``, the r-th group of
+    size c goes to the fold of the r-th smallest of all ``L[f] + c·t``. Written as
+    c·level + rest, those values run level by level in (rest, fold) order over the
+    folds that have reached the level. The folds in reach change at most k times, so
+    a size takes at most k segments; inside one, group r gets
+    ``folds[(r - from) % len(folds)]``.
     """
-    c = counts.sort_values([n, key], ascending=[False, True], kind="mergesort")
-    heap = [(0, f) for f in range(1, k + 1)]
-    folds = []
-    for cnt in c[n].to_numpy():
-        load, f = heapq.heappop(heap)
-        folds.append(f)
-        heapq.heappush(heap, (load + int(cnt), f))
-    return pd.DataFrame({key: c[key].to_numpy(), "fold": pd.array(folds, dtype="int32")})
+    loads = [0] * k
+    out = []
+    for c, m in sizes:
+        level = [load // c for load in loads]
+        taken, now, at = [0] * k, min(level), 0
+        while at < m:
+            reach = sorted((loads[f] % c, f) for f in range(k) if level[f] <= now)
+            ahead = [x for x in level if x > now]
+            length = min(m - at, (min(ahead) - now) * len(reach) if ahead else m - at)
+            for i, (_, f) in enumerate(reach):
+                taken[f] += length // len(reach) + (i < length % len(reach))
+            out.append((c, at, at + length, [f + 1 for _, f in reach]))
+            at += length
+            now = min(ahead, default=now)
+        loads = [load + c * t for load, t in zip(loads, taken)]
+    return out
 
 
 def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5, method: str = "hash",
-                 out: str = "fold", salt: str = "", max_groups: int = 1_000_000) -> DataFrame:
+                 out: str = "fold", salt: str = "") -> DataFrame:
     """Attach a group fold 1..k to every row (V1 greedy, V2 hash).
 
-    ``hash``: fold = md5 bucket of the key; no shuffle, streams, any scale.
-    ``greedy``: rows → per-group counts (partial aggregation) → the
-    ``max_groups`` heaviest groups (a bounded top-k) get the exact greedy
-    assignment in one task → the remaining, lighter groups (if any) get the
-    hash fold → the (key → fold) map is joined back. Hot groups are the
-    ones that matter for balance, and each is a single row here.
+    ``hash``: an arithmetic hash for integer keys, an md5 bucket of the joined key
+    otherwise; no shuffle, streams, any scale.
+    ``greedy``: rows → per-group counts (partial aggregation) →
+    :func:`greedy_fold_map` → the (key → fold) map is joined back.
     """
     if callable(method):
         # user splitter (Y4): a function (key Column, k) → fold Column
@@ -69,33 +79,38 @@ def assign_folds(df: DataFrame, keys: Sequence[str], k: int = 5, method: str = "
     kcol = "_gkey"
     d = df.withColumn(kcol, _key(keys))
     counts = d.groupBy(kcol).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.orderBy(F.col("_n").desc(), F.col(kcol).asc()).limit(max_groups)
-    fmap = greedy_fold_map(heavy, kcol, "_n", k)
-    rest = (counts.join(heavy.select(kcol), kcol, "left_anti")
-                  .select(kcol, hash_fold(F.col(kcol), k, salt).alias("fold")))
-    fmap = fmap.unionByName(rest)
+    fmap = greedy_fold_map(counts, kcol, "_n", k)
     return d.join(fmap, kcol, "left").withColumnRenamed("fold", out).drop(kcol)
 
 
 def greedy_fold_map(counts: DataFrame, key: str, n: str, k: int, part: Sequence[str] = ()) -> DataFrame:
-    """(part…, key, count) → (part…, key, fold) by :func:`greedy_assign`, one task per part.
+    """(part…, key, count) → (part…, key, fold), exact greedy at any number of groups.
 
-    With ``part`` empty all (bounded) groups go to one task; with ``part``
-    (e.g. the outer fold of nested CV) each part is assigned independently.
+    Groups are taken in (count descending, key ascending) order, each to the lightest
+    fold. The histogram of group sizes has at most √(2 · rows) lines a part; from it
+    :func:`greedy_segments` tells where the r-th group of a size goes. Ranks come from
+    a range-partitioned sort: a rank inside its range plus the groups of lower ranges.
     """
+    spark = counts.sparkSession
     part = list(part)
-    grp = part if part else [F.lit(0).alias("_one")]
-    src = counts.select(*grp, key, n) if part else counts.select(F.lit(0).alias("_one"), key, n)
-    schema = ", ".join([f"{p} {dict(counts.dtypes)[p]}" for p in part] + [f"{key} string", "fold int"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = greedy_assign(pdf[[key, n]].rename(columns={key: "key", n: "n"}), k)
-        r = r.rename(columns={"key": key})
-        for p in part:
-            r.insert(0, p, pdf[p].iloc[0])
-        return r[[*part, key, "fold"]]
-
-    return src.groupBy(*(part or ["_one"])).applyInPandas(run, schema)
+    ensure_checkpoint_dir(spark)
+    ways = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    ranges = (counts.select(*part, key, F.col(n).alias("_c")).repartitionByRange(ways, *part, "_c", key)
+              .withColumn("_range", F.spark_partition_id()).checkpoint())
+    per = ranges.groupBy(*part, "_c", "_range").agg(F.count(F.lit(1)).alias("_m"))
+    lower = Window.partitionBy(*part, "_c").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = per.withColumn("_off", F.coalesce(F.sum("_m").over(lower), F.lit(0))).drop("_m")
+    rank = F.row_number().over(Window.partitionBy(*part, "_c", "_range").orderBy(key)) - 1
+    ranked = ranges.withColumn("_r", rank).join(offsets, [*part, "_c", "_range"]).withColumn("_r", F.col("_r") + F.col("_off"))
+    hist: dict[tuple, list] = {}
+    for row in per.groupBy(*part, "_c").agg(F.sum("_m").alias("_m")).collect():  # at most √(2 · rows) a part
+        hist.setdefault(tuple(row[p] for p in part), []).append((row["_c"], row["_m"]))
+    plan = [(*own, *seg) for own, sizes in hist.items() for seg in greedy_segments(sorted(sizes, reverse=True), k)]
+    types = dict(counts.dtypes)
+    schema = ", ".join([*(f"{p} {types[p]}" for p in part), "_c bigint, _from bigint, _to bigint, _folds array<int>"])
+    plan_df = spark.createDataFrame(plan, schema)
+    both = ranked.join(plan_df, [*part, "_c"]).where("_r >= _from and _r < _to")
+    return both.select(*part, key, F.element_at("_folds", ((F.col("_r") - F.col("_from")) % F.size("_folds")).cast("int") + 1).alias("fold"))
 
 
 def holdout(df: DataFrame, setting: str, k: int = 5, method: str = "hash", out: str = "fold",
@@ -106,7 +121,7 @@ def holdout(df: DataFrame, setting: str, k: int = 5, method: str = "hash", out:
 
 
 def nested_folds(df: DataFrame, keys: Sequence[str], fold: str = "fold", k: int = 5, k_inner: int = 5,
-                 method: str = "hash", salt: str = "inner", max_groups: int = 1_000_000) -> DataFrame:
+                 method: str = "hash", salt: str = "inner") -> DataFrame:
     """(row…, outer, inner) for every row of every outer training set (V4).
 
     Each row appears once per outer fold it trains in (k − 1 copies): that
@@ -114,7 +129,7 @@ def nested_folds(df: DataFrame, keys: Sequence[str], fold: str = "fold", k: int
     columns directly instead (see models.closed_form), which needs no copy.
     ``hash``: inner = salted key hash, the same in every outer set.
     ``greedy``: inner folds are rebuilt inside each outer training set from
-    its group counts, one task per outer fold.
+    its group counts.
     """
     kcol = "_gkey"
     d = df.withColumn(kcol, _key(keys))
@@ -123,14 +138,8 @@ def nested_folds(df: DataFrame, keys: Sequence[str], fold: str = "fold", k: int
     if method == "hash":
         return rows.withColumn("inner", _hash_fold(df, keys, k_inner, salt)).drop(kcol)
     counts = rows.groupBy("outer", kcol).agg(F.count(F.lit(1)).alias("_n"))
-    # heaviest max_groups per outer set (a per-partition-limited window) go greedy, the rest hash
-    rank = F.row_number().over(Window.partitionBy("outer").orderBy(F.col("_n").desc(), F.col(kcol).asc()))
-    ranked = counts.withColumn("_r", rank)
-    heavy = ranked.filter(F.col("_r") <= max_groups).drop("_r")
-    fmap = greedy_fold_map(heavy, kcol, "_n", k_inner, part=["outer"]).withColumnRenamed("fold", "inner")
-    rest = (ranked.filter(F.col("_r") > max_groups)
-                  .select("outer", kcol, hash_fold(F.col(kcol), k_inner, salt).alias("inner")))
-    return rows.join(fmap.unionByName(rest), ["outer", kcol]).drop(kcol)
+    fmap = greedy_fold_map(counts, kcol, "_n", k_inner, part=["outer"]).withColumnRenamed("fold", "inner")
+    return rows.join(fmap, ["outer", kcol]).drop(kcol)
 
 
 def read_folds(df: DataFrame, setting_col: str = "setting", fold: str = "fold") -> DataFrame:

@@ -10,14 +10,14 @@ from pairgrid.sources import writers as K
 
 
 def q_group_kfold_greedy(spark, sf_dir):
-    """V1 on chemicals: exact greedy over the 2,000-ish chemical groups."""
-    obs = observations(spark, sf_dir).select("idx", "chem")
+    """V1 on chemicals: exact greedy folds."""
+    obs = observations(spark, sf_dir, index=False).select("chem")
     return V.assign_folds(obs, ["chem"], 5, "greedy").select("chem", "fold").distinct()
 
 
 def q_group_kfold_greedy_pairs(spark, sf_dir):
     """V1 on (chemical, species) pairs; checked by properties, not by SQL."""
-    obs = observations(spark, sf_dir).select("idx", "chem", "species")
+    obs = observations(spark, sf_dir, index=False).select("chem", "species")
     f = V.assign_folds(obs, ["chem", "species"], 5, "greedy")
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.countDistinct("chem", "species").alias("n_groups"))
@@ -48,7 +48,7 @@ def q_holdout_by_entity(spark, sf_dir):
 
 
 def q_nested_folds(spark, sf_dir):
-    obs = observations(spark, sf_dir).select("idx", "chem", "fold2")
+    obs = observations(spark, sf_dir, index=False).select("chem", "fold2")
     n = V.nested_folds(obs, ["chem"], "fold2", 5, 5, "hash")
     return n.groupBy("outer", "inner").agg(F.count(F.lit(1)).alias("n_rows"),
                                            F.countDistinct("chem").alias("n_groups"))
@@ -56,7 +56,7 @@ def q_nested_folds(spark, sf_dir):
 
 def q_nested_folds_greedy(spark, sf_dir):
     """V4 with inner folds rebuilt greedily inside each outer training set."""
-    obs = observations(spark, sf_dir).select("idx", "chem", "fold2")
+    obs = observations(spark, sf_dir, index=False).select("chem", "fold2")
     n = V.nested_folds(obs, ["chem"], "fold2", 5, 5, "greedy")
     return n.groupBy("outer", "inner").agg(F.count(F.lit(1)).alias("n_rows"),
                                            F.countDistinct("chem").alias("n_groups"))
@@ -121,7 +121,21 @@ r(rn, key, fold, loads) AS (
              CASE WHEN x = list_position(r.loads, list_min(r.loads)) THEN ord.n ELSE 0 END)
   FROM r JOIN ord ON ord.rn = r.rn + 1)"""
 
+_NESTED_GREEDY_SQL = """
+g AS (SELECT CAST(o.range AS INTEGER) AS side, CAST(chem AS VARCHAR) AS key, count(*) AS n
+      FROM obs JOIN range(1, 6) o ON obs.fold2 <> o.range GROUP BY ALL),
+ord AS (SELECT side, key, n, row_number() OVER (PARTITION BY side ORDER BY n DESC, key) AS rn FROM g),
+r(rn, side, n, fold, loads) AS (
+  SELECT CAST(0 AS BIGINT), CAST(range AS INTEGER), CAST(0 AS BIGINT), CAST(NULL AS INTEGER), [0, 0, 0, 0, 0]::BIGINT[] FROM range(1, 6)
+  UNION ALL
+  SELECT ord.rn, ord.side, ord.n, CAST(list_position(r.loads, list_min(r.loads)) AS INTEGER),
+         list_transform(range(1, 6), lambda x: r.loads[x] +
+             CASE WHEN x = list_position(r.loads, list_min(r.loads)) THEN ord.n ELSE 0 END)
+  FROM r JOIN ord ON ord.rn = r.rn + 1 AND ord.side = r.side)"""
+
 ORACLES = {
+    "nested_folds_greedy": with_sql(OBS_SQL, _NESTED_GREEDY_SQL, recursive=True)
+    + "SELECT side AS outer, fold AS inner, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups FROM r WHERE rn > 0 GROUP BY ALL",
     "assign_folds_custom": with_sql(OBS_SQL)
     + "SELECT CAST(CAST(right(CAST(chem AS VARCHAR), 1) AS INTEGER) % 5 + 1 AS INTEGER) AS fold, count(*) AS n_rows, "
       "count(DISTINCT chem) AS n_groups FROM obs GROUP BY 1",

@@ -1,9 +1,13 @@
 """Folds, closed-form ridge, features and sinks (FIXTURES §3–§4)."""
 
+import heapq
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairgrid.operators import features as FT
@@ -14,15 +18,47 @@ from pairgrid.sources import readers as R
 from pairgrid.sources import writers as K
 
 
-def test_greedy_assign_fixture():
-    counts = pd.DataFrame({"key": list("abcdef"), "n": [5, 4, 3, 3, 2, 1]})
-    r = V.greedy_assign(counts, 3)
-    got = dict(zip(r["key"], r["fold"]))
+def heap_folds(counts, k):
+    """(key, count) → fold, one group at a time: the lightest fold, the lowest one on ties."""
+    heap, out = [(0, f) for f in range(1, k + 1)], {}
+    for key, n in sorted(counts, key=lambda x: (-x[1], x[0])):
+        load, f = heapq.heappop(heap)
+        out[key] = f
+        heapq.heappush(heap, (load + n, f))
+    return out
+
+
+def test_greedy_assign_fixture(spark):
+    counts = list(zip("abcdef", [5, 4, 3, 3, 2, 1]))
+    r = V.greedy_fold_map(spark.createDataFrame(counts, "key string, n bigint"), "key", "n", 3)
+    got = {x["key"]: x["fold"] for x in r.collect()}
     assert got == {"a": 1, "b": 2, "c": 3, "d": 3, "e": 2, "f": 1}
-    loads = counts.assign(fold=counts["key"].map(got)).groupby("fold")["n"].sum().tolist()
+    loads = [sum(n for key, n in counts if got[key] == f) for f in (1, 2, 3)]
     assert loads == [6, 6, 6]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 40) | st.sampled_from([1, 1, 2, 500]), max_size=60), st.integers(1, 7))
+def test_greedy_segments_equal_heap(sizes, k):
+    counts = [(f"{i:03d}", n) for i, n in enumerate(sizes)]
+    hist = sorted(Counter(sizes).items(), reverse=True)
+    rank, got = Counter(), {}
+    segments = V.greedy_segments(hist, k)
+    for key, n in counts:
+        r = rank[n]
+        rank[n] += 1
+        got[key] = next(f[(r - lo) % len(f)] for c, lo, hi, f in segments if c == n and lo <= r < hi)
+    assert got == heap_folds(counts, k)
+
+
+def test_greedy_folds_equal_heap_in_parts(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(int(p), f"g{i}", int(n)) for p in range(3) for i, n in enumerate(rnd.zipf(1.6, 300).clip(1, 400))]
+    r = V.greedy_fold_map(spark.createDataFrame(rows, "p int, g string, n bigint").repartition(4), "g", "n", 5, part=["p"])
+    got = {(x["p"], x["g"]): x["fold"] for x in r.collect()}
+    assert got == {(p, g): f for p in range(3) for g, f in heap_folds([x[1:] for x in rows if x[0] == p], 5).items()}
+
+
 def test_greedy_folds_spark_no_leak(spark):
     rows = [(k, i) for k, n in zip("abcdef", [5, 4, 3, 3, 2, 1]) for i in range(n)]
     df = spark.createDataFrame(rows, "key string, i int")
