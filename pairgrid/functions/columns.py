@@ -19,12 +19,15 @@ def _c(x) -> Column:
 # --- numbers stored as text (P6) -------------------------------------------
 
 def parse_number(col) -> Column:
-    """Text → DOUBLE; junk such as ``NR``, ``1.5*`` or ``>3`` becomes NULL.
+    """Text → DOUBLE; junk such as ``NR``, ``1.5*``, ``>3``, ``5d`` or ``NaN`` becomes NULL.
 
-    ``try_cast`` trims blanks, so `` 2e-3 `` parses to 0.002. Spark 4 runs in
-    ANSI mode, where a plain cast would fail the task instead.
+    Only plain decimal and exponent forms count, with blanks around them, so
+    `` 2e-3 `` parses to 0.002; a cast alone would also take the suffixes
+    ``d`` and ``f`` and the words for infinity and NaN.
     """
-    return _c(col).try_cast("double")
+    c = _c(col)
+    plain = c.cast("string").rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    return F.when(plain, c.try_cast("double"))
 
 
 # --- right-closed bins (P13) ------------------------------------------------
