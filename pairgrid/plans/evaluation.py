@@ -16,7 +16,7 @@ from pairgrid.operators.folds import split_cells
 from pairgrid.operators.models.closed_form import cell_stats, score_shrunk_mean, split_stats
 from pairgrid.plans import shrunk_means as SM
 from pairgrid.plans.roles import (
-    K_FOLDS, LI_HASH_KEYS, LI_SQL, LI_TIEBREAK, OBS_SQL, ROW_SEED, load, observations, with_sql)
+    K_FOLDS, LI_HASH_KEYS, LI_SQL, LI_TIEBREAK, OBS_SQL, ROW_SEED, index_buckets, load, observations, with_sql)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def q_curve_argmin(spark, sf_dir):
 
 def q_global_row_index(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem").select(*LI_HASH_KEYS, *LI_TIEBREAK)
-    out = W.global_row_index(li, LI_HASH_KEYS, ROW_SEED, 64, LI_TIEBREAK)
+    out = W.global_row_index(li, LI_HASH_KEYS, ROW_SEED, index_buckets(li), LI_TIEBREAK)
     return out.select(*LI_HASH_KEYS, "index")
 
 

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgrid.functions.columns import hash_share
 from pairgrid.operators import features as FT
 from pairgrid.operators import report as G
 from pairgrid.operators.models import closed_form as CF
@@ -27,6 +26,9 @@ from pairgrid.plans.roles import K_FOLDS, OBS_SQL, with_sql
 from pairgrid.session import ensure_checkpoint_dir
 
 FOLD_COL = {"setting1": "fold1", "setting2": "fold2"}
+INNER_COL = {"setting1": "inner1", "setting2": "inner2"}
+#: Inner fold that early stopping is judged on: whole groups, none of them in training.
+STOP_FOLD = 1
 
 
 def design_rows(spark, sf_dir, model: str, setting: str, coded: D.Coded | None = None, vectors: bool = True):
@@ -35,7 +37,7 @@ def design_rows(spark, sf_dir, model: str, setting: str, coded: D.Coded | None =
     c = coded or D.coded_observations(spark, sf_dir)
     names = D.blocks(model, setting)
     lg, width = D.design_long(c, names)
-    labels = c.rows.select("idx", "y", F.col(FOLD_COL[setting]).alias("fold"))
+    labels = c.rows.select("idx", "y", F.col(FOLD_COL[setting]).alias("fold"), F.col(INNER_COL[setting]).alias("inner"))
     if vectors:
         rows = labels.join(FT.vectors_from_long(lg, "idx", width), "idx")
     else:
@@ -68,13 +70,9 @@ def fold_report(pred: DataFrame, model: str, setting: str) -> DataFrame:
 RIDGE_ALPHA = 10.0
 
 
-def _solver(width: int) -> str:
-    return "normal" if width <= 4096 else "l-bfgs"
-
-
 def ridge_predictions(spark, sf_dir, model: str, setting: str, alpha: float = RIDGE_ALPHA, coded=None):
-    rows, width, _ = design_rows(spark, sf_dir, model, setting, coded)
-    return holdout(rows, lambda tr: L.fit_ridge(tr, alpha, solver=_solver(width)))
+    rows, _, _ = design_rows(spark, sf_dir, model, setting, coded)
+    return holdout(rows, lambda tr: L.fit_ridge(tr, alpha))
 
 
 def q_fit_ridge(spark, sf_dir):
@@ -98,9 +96,9 @@ def q_fit_forest(spark, sf_dir):
 
 
 def q_fit_boosted(spark, sf_dir):
-    """R6 with early stopping on a hashed 10% validation share of each training set."""
+    """R6 with early stopping on one grouped inner fold of each training set."""
     rows, _, _ = design_rows(spark, sf_dir, "LM4", "setting1")
-    rows = rows.withColumn("is_val", hash_share(F.col("idx").cast("string"), "gbt-val") < 0.1)
+    rows = rows.withColumn("is_val", F.col("inner") == STOP_FOLD)
     p = holdout(rows, lambda tr: L.fit_boosted(tr, nrounds=40, tree_depth=4, subsample=0.75,
                                                validation="is_val"))
     return fold_report(p, "XGB", "setting1")
@@ -112,7 +110,7 @@ def q_boosted_early_stop(spark, sf_dir):
     curves = []
     for o in range(1, K_FOLDS + 1):
         tr = rows.filter(F.col("fold") != o)
-        val = hash_share(F.col("idx").cast("string"), "gbt-val") < 0.2
+        val = F.col("inner") == STOP_FOLD
         model = L.fit_boosted(tr.filter(~val), nrounds=15, tree_depth=3, subsample=0.75)
         rmse = L.boosted_curve(model, tr.filter(val))
         curves += [(o, r + 1, float(v)) for r, v in enumerate(rmse)]
@@ -256,6 +254,10 @@ pairs AS (SELECT pa.idx, sum(list_dot_product(pa.vla, vb.vl) * pa.xa * pa.xb) AS
 lsum AS (SELECT idx, sum(w * val) AS lin FROM fld JOIN lin USING (feature) GROUP BY idx)"""
 
 ORACLES = {
+    "union_predictions": with_sql(OBS_SQL) + """
+SELECT m.model, m.setting, count(*) AS n, count(DISTINCT idx) AS n_index
+FROM obs, (VALUES ('LM0', 'setting1'), ('LM1', 'setting1'), ('LM2', 'setting1'), ('LM3', 'setting1'), ('LM4', 'setting1'),
+                  ('LM0', 'setting2'), ('LM1', 'setting2'), ('LM4', 'setting2')) m(model, setting) GROUP BY ALL""",
     "score_ffm": with_sql(OBS_SQL, EDGES_SQL, CHEM_TEXT_SQL, FP_SQL, CODES_SQL, DESIGN4_SQL, _FFM_SQL)
     + "SELECT l.idx, round(4.0 + l.lin + coalesce(p.inter, 0), 6) AS y_pred FROM lsum l LEFT JOIN pairs p USING (idx)",
     "grid_refine": with_sql(OBS_SQL, SM.LONG_SQL, SM.GRID_SQL) + """,

@@ -37,12 +37,16 @@ LI_TIEBREAK = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_return
 ROW_SEED = "42"
 
 
+def index_buckets(df: DataFrame) -> int:
+    """Hash ranges for the row index: they grow with the input (one per scan split at
+    least), so no bucket outgrows a task; the offset table stays one row per bucket."""
+    spark = df.sparkSession
+    return max(4096, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), df.rdd.getNumPartitions())
+
+
 def lineitem_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
-    # buckets grow with the input (one per scan split at least), so no
-    # bucket outgrows a task; the offset table stays one row per bucket
-    buckets = max(4096, int(spark.conf.get("spark.sql.shuffle.partitions", "200")), li.rdd.getNumPartitions())
-    return global_row_index(li, LI_HASH_KEYS, ROW_SEED, buckets, LI_TIEBREAK, out="idx")
+    return global_row_index(li, LI_HASH_KEYS, ROW_SEED, index_buckets(li), LI_TIEBREAK, out="idx")
 
 
 LI_SQL = f"""
