@@ -1,16 +1,15 @@
 """Operator 8: document fingerprints as invertible Bloom lookup tables (DataFrame
 functions only).
 
-A text's paragraphs (lines, long ones cut into sentences and pieces) are digested to
-64 bits. Each distinct digest goes into one cell of each of three subtables; a cell
+A text's paragraphs (lines, long ones cut at sentence ends) are digested to 64 bits. Each distinct digest goes into one cell of each of three subtables; a cell
 holds a count and the exclusive-or of its digests and of their check values. The
 fingerprint is such a table of ``3 * CELLS`` cells. Two fingerprints subtract cell by
 cell, and peeling cells that hold one digest recovers the digests of either side that
 differ. Where that fails, the residual counts estimate the size of the difference,
-and larger tables are tried: the digests are dealt by their bits into groups of a few
-differing ones, each with a table of its own, and the table of a group that fails is
-doubled up to ``MOST`` cells a subtable. (Groups beyond that have chance below 1e-9;
-they are compared digest by digest.) Likeness is the Jaccard similarity of the two
+and larger tables are tried: the digests are dealt by their bits into groups of one or
+two differing ones, each with a table of its own that starts with one cell a subtable
+and is doubled where it fails, up to ``MOST``. (Groups beyond that have chance below
+1e-9; they are compared digest by digest.) Likeness is the Jaccard similarity of the two
 digest sets, from their sizes and the size of the difference.
 
 Neighbours in the order of ids are found in ranges of ids: each range also gets the
@@ -32,8 +31,8 @@ from .common import partitions, table
 
 #: Cells of each of the three subtables of a fingerprint, and of the largest group table.
 CELLS, MOST = 4, 64
-#: Pieces of text that are digested: up to 200 characters without a sentence or line end, and the ends after them.
-PIECE = r"[^.!?\n|]{1,200}+[.!?\n| ]*+|[.!?\n| ]++"
+#: Pieces of text that are digested: within a line, 120 characters or more up to a sentence end, 300 at most.
+PIECE = r"[^\n]{1,120}+[^.!?\n]{0,180}+[.!?\n ]*+|\n++"
 #: Bits of a digest: 6 for the cell in each subtable from 0 on; for groups from 20 and from 40 on.
 GROUP_BITS, MAJOR, MINOR = 20, 20, 40
 
@@ -56,16 +55,21 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1)).bitwiseAND(0xFFFFFFFF)
 
 
-def _xor(arr: Column, of) -> Column:
-    return F.aggregate(arr, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(of(x)))
+def _into(sign: int):
+    def add(s, k):
+        return F.struct((s["n"] + sign).alias("n"), s["k"].bitwiseXOR(k).alias("k"), s["c"].bitwiseXOR(_check(k)).alias("c"))
+    return add
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """Array of 3 * cells structs (n, k, c)."""
+def sketch(keys: Column, cells: int, but: Column | None = None) -> Column:
+    """Array of 3 * cells structs (n, k, c): ``keys`` put in, those of ``but`` taken out."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+
     def subtable(at: int) -> Column:
         def made(i):
-            own = F.filter(keys, lambda k: _bits(k, at, cells - 1) == i)
-            return _let(own, lambda a: F.struct(F.size(a).alias("n"), _xor(a, lambda x: x).alias("k"), _xor(a, _check).alias("c")))
+            own = lambda k: _bits(k, at, cells - 1) == i
+            full = F.aggregate(F.filter(keys, own), zero, _into(1))
+            return full if but is None else F.aggregate(F.filter(but, own), full, _into(-1))
         return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), made)
     return F.concat(*[subtable(6 * j) for j in range(3)])
 
@@ -87,20 +91,21 @@ def peel(table_: Column, cells: int, steps: Column) -> Column:
 
     def step(s, _):
         def remove(one):
-            p = one[0]
-            check = _check(p["k"])
-            left = F.transform(s["t"], lambda x, i: F.when(
-                _bits(p["k"], 0, cells - 1) == i, _less(x, p, check)).when(
-                _bits(p["k"], 6, cells - 1) + cells == i, _less(x, p, check)).when(
-                _bits(p["k"], 12, cells - 1) + 2 * cells == i, _less(x, p, check)).otherwise(x))
-            return F.when(F.size(one) == 0, s).otherwise(F.struct(left.alias("t"), F.concat(s["found"], F.array(F.struct(p["k"].alias("k"), p["n"].alias("n")))).alias("found")))
-        return _let(F.filter(s["t"], _pure), remove)
+            """one: what to take out, or nulls."""
+            kept = F.transform(s["t"], lambda x, i: F.when((i == one["x"]) | (i == one["y"]) | (i == one["z"]), _less(x, one)).otherwise(x))
+            return F.when(one["k"].isNull(), s).otherwise(
+                F.struct(kept.alias("t"), F.concat(s["found"], F.array(F.struct(one["k"].alias("k"), one["n"].alias("n")))).alias("found")))
+
+        def placed(pure):
+            at = [(_bits(pure["k"], 6 * j, cells - 1) + j * cells).alias("xyz"[j]) for j in range(3)]
+            return _let(F.struct(pure["k"].alias("k"), pure["n"].alias("n"), _check(pure["k"]).alias("c"), *at), remove)
+        return _let(F.get(F.filter(s["t"], _pure), F.lit(0)), placed)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, step)
 
 
-def _less(x: Column, p: Column, check: Column) -> Column:
-    return F.struct((x["n"] - p["n"]).alias("n"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["c"].bitwiseXOR(check).alias("c"))
+def _less(x: Column, p: Column) -> Column:
+    return F.struct((x["n"] - p["n"]).alias("n"), x["k"].bitwiseXOR(p["k"]).alias("k"), x["c"].bitwiseXOR(p["c"]).alias("c"))
 
 
 def _done(peeled: Column) -> Column:
@@ -112,12 +117,12 @@ def _listed(a: Column, b: Column) -> Column:
     return F.concat(one(F.array_except(a, b), 1), one(F.array_except(b, a), -1))
 
 
-def _groups(keys: Column, side: Column) -> Column:
-    """Digests dealt into side * side groups: first by some bits, then by others."""
-    row = F.sequence(F.lit(0).cast("long"), side - 1)
-    return F.flatten(F.transform(row, lambda g: _let(
-        F.filter(keys, lambda k: _bits(k, MAJOR, side - 1) == g),
-        lambda own: F.transform(row, lambda h: F.filter(own, lambda k: _bits(k, MINOR, side - 1) == h)))))
+def _groups(keys: Column, major: Column, minor: Column) -> Column:
+    """Digests dealt into major * minor groups: first by some bits, then by others."""
+    row = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    return F.flatten(F.transform(row(major), lambda g: _let(
+        F.filter(keys, lambda k: _bits(k, MAJOR, major - 1) == g),
+        lambda own: F.transform(row(minor), lambda h: F.filter(own, lambda k: _bits(k, MINOR, minor - 1) == h)))))
 
 
 def with_differences(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str) -> DataFrame:
@@ -136,30 +141,36 @@ def with_differences(df: DataFrame, pairs: list[tuple[str, str, str, str]], out:
                                                peel(c(f"_left{p}"), CELLS, F.lit(3 * CELLS))) for p in range(len(pairs))})
     df = df.withColumns({f"_ok{p}": F.coalesce(_done(c(f"_peeled{p}")), F.lit(False)) for p in range(len(pairs))})
 
-    def side(p: int) -> Column:
-        """Groups along each way: the counts of a cell are sums of signs, so their squares
-        add up to about the size of the difference in each subtable."""
+    def doublings(p: int) -> Column:
+        """Groups, as a power of two, for one or two differing digests in each. The counts
+        of a cell are sums of signs, so their squared distance from the mean adds up to
+        about (1 - 1 / CELLS) times the size of the difference in each subtable."""
         a, _, b, _ = pairs[p]
-        size = F.greatest(F.aggregate(f"_left{p}", F.lit(0), lambda s, x: s + x["n"] * x["n"]) / 3, F.abs(F.size(a) - F.size(b)))
-        return F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(size / 3, F.lit(1.0))) / 2)), F.lit(float(1 << GROUP_BITS))).cast("long")
-
-    df = df.withColumns({f"_side{p}": side(p) for p in range(len(pairs))})
-    groups = lambda p: F.zip_with(_groups(c(pairs[p][0]), c(f"_side{p}")), _groups(c(pairs[p][2]), c(f"_side{p}")),
-                                  lambda x, y: F.struct(F.lit(p).alias("p"), x.alias("a"), y.alias("b")))
+        more = F.size(a) - F.size(b)
+        squares = F.aggregate(f"_left{p}", F.lit(0), lambda s, x: s + x["n"] * x["n"]) / 3 - more * more / CELLS
+        size = F.least(F.size(a) + F.size(b), F.greatest(squares * (CELLS / (CELLS - 1)), F.abs(more)))
+        return F.least(F.ceil(F.log2(F.greatest(size / 2, F.lit(1.0)))), F.lit(2 * GROUP_BITS)).cast("double")
+
+    power = lambda x: F.pow(F.lit(2.0), x).cast("long")
+    df = df.withColumns({f"_by{p}": doublings(p) for p in range(len(pairs))})
+    df = df.withColumns({f"_side{p}": F.struct(power(F.floor(c(f"_by{p}") / 2)).alias("x"), power(F.ceil(c(f"_by{p}") / 2)).alias("y"))
+                         for p in range(len(pairs))})
+    dealt = lambda p, side: _groups(c(pairs[p][side]), c(f"_side{p}.x"), c(f"_side{p}.y"))
+    groups = lambda p: F.zip_with(dealt(p, 0), dealt(p, 2), lambda x, y: F.struct(F.lit(p).alias("p"), x.alias("a"), y.alias("b")))
     df = df.withColumns({
         "_found": F.concat(none, *[F.when(c(f"_ok{p}"), tag(F.lit(p), c(f"_peeled{p}.found"))).otherwise(none) for p in range(len(pairs))]),
         "_todo": F.concat(nothing, *[F.when(c(f"_ok{p}"), nothing).otherwise(groups(p)) for p in range(len(pairs))])})
-    cells = CELLS
+    cells = 1
     while cells <= MOST:
         tried = F.transform("_todo", lambda g: F.struct(g["p"].alias("p"), g["a"].alias("a"), g["b"].alias("b"), peel(
-            subtract(sketch(g["a"], cells), sketch(g["b"], cells)), cells, F.size(g["a"]) + F.size(g["b"])).alias("peeled")))  # noqa: B023
+            sketch(g["a"], cells, g["b"]), cells, F.least(F.size(g["a"]) + F.size(g["b"]), F.lit(3 * cells))).alias("peeled")))  # noqa: B023
         df = df.withColumn("_tried", tried)
         df = df.withColumns({
             "_found": F.concat("_found", F.flatten(F.transform(F.filter("_tried", lambda r: _done(r["peeled"])), lambda r: tag(r["p"], r["peeled"]["found"])))),
             "_todo": F.transform(F.filter("_tried", lambda r: ~_done(r["peeled"])), lambda r: F.struct(r["p"].alias("p"), r["a"].alias("a"), r["b"].alias("b")))})
         cells *= 2
     listed = F.flatten(F.transform("_todo", lambda g: tag(g["p"], _listed(g["a"], g["b"]))))
-    scratch = ["_found", "_todo", "_tried", *[f"_{x}{p}" for x in ("left", "peeled", "ok", "side") for p in range(len(pairs))]]
+    scratch = ["_found", "_todo", "_tried", *[f"_{x}{p}" for x in ("left", "peeled", "ok", "by", "side") for p in range(len(pairs))]]
     return df.withColumn(out, F.concat("_found", listed)).drop(*scratch)
 
 

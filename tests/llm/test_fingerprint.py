@@ -11,7 +11,7 @@ from pairgrid.llm import fingerprint as X
 
 
 def pieces(t):
-    return set(re.findall(r"[^.!?\n|]{1,200}[.!?\n| ]*|[.!?\n| ]+", t or ""))
+    return set(re.findall(r"[^\n]{1,120}+[^.!?\n]{0,180}+[.!?\n ]*+|\n++", t or ""))
 
 
 def jaccard(a, b):
