@@ -25,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 #: The chain, and the category that decides.
 CATEGORIES, DECIDES, CUT = ("low_quality", "toxic", "toxic_low_quality"), "toxic", 0.5
-SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 4096, 25.0, 0.1, 2.0
+SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 1024, 25.0, 0.1, 2.0
 #: Words whose features a worker remembers.
 KNOWN = 300_000
 _WORDS = re.compile(r"\w+")
@@ -43,27 +43,62 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(f"{n}:{word[:n]}".encode()) for n in range(3, 7) if len(word) > n] + [zlib.crc32(f"w:{word}".encode())]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, categories) -> (id, categories, fold by a hash of the id, distinct features)."""
-    for batch in batches:
-        feats = [sorted({f for w in set(_WORDS.findall((t or "").lower())) for f in word_features(w)}) for t in batch.column(1).to_pylist()]
-        folds = [zlib.crc32(str(i).encode()) % FOLDS for i in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(folds, pa.int32()), pa.array(feats, pa.list_(pa.int64()))],
-                                         names=["id", "y", "fold", "features"])
+def _text_features(text: str | None) -> list[int]:
+    return sorted({f for w in set(_WORDS.findall((text or "").lower())) for f in word_features(w)})
+
+
+def _features(chosen: np.ndarray | None):
+    """(id, y, fold, text) -> (id, y, fold, distinct features, only the chosen ones if given)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None if chosen is None else set(chosen.tolist())
+        for batch in batches:
+            feats = [_text_features(t) for t in batch.column(3).to_pylist()]
+            if keep is not None:
+                feats = [[f for f in own if f in keep] for own in feats]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(feats, pa.list_(pa.int64()))], names=["id", "y", "fold", "features"])
+    return run
+
+
+def _associated(n: np.ndarray, ones: np.ndarray):
+    """Counts of features by fold -> (category, fold left out or FOLDS, feature, chi2) where
+    presence and category go together beyond chance in the other folds. n: rows by
+    fold, ones: by category and fold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            counts = np.stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns[1:]])
+            counts = counts.reshape(FOLDS, 1 + len(CATEGORIES), -1)
+            out = []
+            for g in range(FOLDS + 1):
+                use = [f for f in range(FOLDS) if f != g]
+                df, total = counts[use, 0].sum(0), n[use].sum()
+                for k in range(len(CATEGORIES)):
+                    both, yes = counts[use, 1 + k].sum(0), ones[k, use].sum()
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        chi2 = np.nan_to_num(total * (both * total - df * yes) ** 2 / (df * (total - df) * yes * (total - yes)), posinf=0)
+                    hit = np.flatnonzero(chi2 >= LEAST_CHI2)
+                    out.append((np.full(len(hit), k), np.full(len(hit), g), names[hit], chi2[hit]))
+            k, g, f, x = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(f, pa.int64()), pa.array(x)],
+                                             names=["k", "left_out", "feature", "chi2"])
+    return run
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int,
              ridge: float = RIDGE, ones_count: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps with conjugate gradients: weights of the
+    """Ridge logistic regression by Newton steps with scaled conjugate gradients: weights of the
     ``width`` 0/1 features (entries rows, cols), of the dense columns, and an intercept.
     A row of category 1 counts as ``ones_count`` rows."""
     n = len(y)
     c = np.where(y > 0, ones_count, 1.0)
     dense = np.c_[dense, np.ones(n)]
     k = dense.shape[1]
+    counts = np.bincount(rows, minlength=n)  # rows ascend
+    starts = np.minimum(np.cumsum(counts) - counts, max(len(cols) - 1, 0))
+    some = counts > 0
 
     def forward(w):
-        return np.bincount(rows, w[cols], n) + dense @ w[width:]
+        return np.add.reduceat(w[cols], starts) * some + dense @ w[width:] if len(cols) else dense @ w[width:]
 
     def back(r):
         return np.r_[np.bincount(cols, r[rows], width), dense.T @ r]
@@ -78,21 +113,25 @@ def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         return c @ (np.logaddexp(0, z) - y * z) + (penalty * w * w).sum() / 2
 
     now = loss(w)
-    for _ in range(30):
+    for _ in range(8):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -40, 40)))
         grad = back(c * (p - y)) + penalty * w
         d = c * p * (1 - p) + 1e-9
+        scale = 1 / (np.r_[np.bincount(cols, d[rows], width), d @ dense**2] + penalty)  # features differ widely in frequency
         step, r = np.zeros_like(w), -grad
-        direction, rr = r.copy(), r @ r
-        for _ in range(50):
-            if rr < 1e-10 * max(1.0, grad @ grad):
+        z = scale * r
+        direction, rz = z.copy(), r @ z
+        least = 1e-8 * rz
+        for _ in range(12):
+            if rz <= least:
                 break
             h = back(d * forward(direction)) + penalty * direction
-            a = rr / (direction @ h)
+            a = rz / (direction @ h)
             step += a * direction
             r -= a * h
-            rr, old = r @ r, rr
-            direction = r + rr / old * direction
+            z = scale * r
+            rz, old = r @ z, rz
+            direction = z + rz / old * direction
         size = 1.0
         while size > 1e-4 and (after := loss(w + size * step)) > now:
             size /= 2
@@ -107,9 +146,10 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit(category: int):
+def _fit(category: int, chosen: dict[int, np.ndarray]):
     """Rows of one group (the fold left out, or FOLDS for none) -> out-of-fold
-    probabilities (kind 0: id), or the model (kind 1: feature, 2: earlier category, 3: intercept)."""
+    probabilities (kind 0: id), or the model (kind 1: feature, 2: earlier category,
+    3: intercept). chosen: sorted features of each group."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         left_out = key[0].as_py()
         rows = rows.sort_by([("id", "ascending")]).combine_chunks()
@@ -119,34 +159,23 @@ def _fit(category: int):
         lists = rows.column("features").combine_chunks()
         feats = lists.flatten().to_numpy()
         row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        names = chosen[left_out]
+        width = len(names)
+        col = np.searchsorted(names, feats)
+        use = col < width
+        use[use] = names[col[use]] == feats[use]
+        row, col = row[use], col[use]
         test = rows.column("fold").to_numpy() == left_out
         train = ~test
         n, ones = int(train.sum()), float(y[train].sum())
         if 0 < ones < n:
-            names, place = np.unique(feats, return_inverse=True)
-            here = train[row]
-            df = np.bincount(place[here], minlength=len(names)).astype(float)
-            both = np.bincount(place[here], y[row[here]], len(names))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                chi2 = np.nan_to_num(n * (both * n - df * ones) ** 2 / (df * (n - df) * ones * (n - ones)))
-            best = np.lexsort((names, -chi2))[:FEATURES]
-            best = np.sort(best[chi2[best] >= LEAST_CHI2])
-            new = np.full(len(names), -1)
-            new[best] = np.arange(len(best))
-            col = new[place]
-            use = here & (col >= 0)
-            at = np.cumsum(train) - 1
-            w = logistic(at[row[use]], col[use], earlier[train], y[train], len(best),
-                         RIDGE, min(ONES, max(1.0, (n - ones) / ones)))
-            names = names[best]
+            at, here = np.cumsum(train) - 1, train[row]
+            w = logistic(at[row[here]], col[here], earlier[train], y[train], width, RIDGE, min(ONES, max(1.0, (n - ones) / ones)))
         else:
-            names, col = np.empty(0, np.int64), np.full(len(feats), -1)
             share = ones / n if n else 0.0
-            w = np.r_[np.zeros(category), _log_odds(np.array([share]))]
-        width = len(names)
+            w = np.r_[np.zeros(width + category), _log_odds(np.array([share]))]
         if left_out < FOLDS:
-            use = col >= 0
-            z = np.bincount(row[use], w[col[use]], len(ids)) + np.c_[earlier, np.ones(len(ids))] @ w[width:]
+            z = np.bincount(row, w[col], len(ids)) + np.c_[earlier, np.ones(len(ids))] @ w[width:]
             out = [(0, int(i), float(v)) for i, v in zip(ids[test], (1 / (1 + np.exp(-np.clip(z, -40, 40))))[test])]
         else:
             out = [(1, int(f), float(v)) for f, v in zip(names, w)]
@@ -162,15 +191,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     known = (labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("t"), F.max(1 - F.col("quality").cast("int")).alias("q")))
     y = F.array(*[c.cast("int") for c in (F.col("q"), F.col("t"), F.col("q") * F.col("t"))])
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", y.alias("y"))
+    fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", y.alias("y"), fold.alias("fold"))
     texts = (docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("did") == F.col("id"))
-             .select("id", "text", "y"))
-    rows = texts.mapInArrow(_features, "id long, y array<int>, fold int, features array<long>").dropDuplicates(["id"])
+             .select("id", "y", "fold", "text"))
+    of_y = [F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(len(CATEGORIES))]
+    n, ones = np.zeros(FOLDS), np.zeros((len(CATEGORIES), FOLDS))
+    for r in texts.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *of_y).collect():  # a row for each fold
+        n[r["fold"]], ones[:, r["fold"]] = r["n"], r[2:]
+    shape = "id long, y array<int>, fold int, features array<long>"
+    counts = (texts.mapInArrow(_features(None), shape).select("y", "fold", F.explode("features").alias("feature"))
+              .groupBy("feature").pivot("fold", list(range(FOLDS))).agg(F.count(F.lit(1)).alias("n"), *of_y))
+    found = counts.mapInArrow(_associated(n, ones), "k int, left_out int, feature long, chi2 double")
+    best = F.row_number().over(Window.partitionBy("k", "left_out").orderBy(F.desc("chi2"), "feature"))
+    chosen = {(k, g): np.empty(0, np.int64) for k in range(len(CATEGORIES)) for g in range(FOLDS + 1)}
+    held = found.withColumn("nth", best).where(F.col("nth") <= FEATURES).groupBy("k", "left_out").agg(F.collect_list("feature").alias("f"))
+    for r in held.collect():  # at most FEATURES for each category and fold
+        chosen[r["k"], r["left_out"]] = np.sort(np.array(r["f"], np.int64))
+    union = np.unique(np.concatenate(list(chosen.values())))
+    rows = texts.mapInArrow(_features(union), shape).dropDuplicates(["id"])
     rows = materialize(rows.withColumn("earlier", F.array().cast("array<double>")), "labelled")
     chain = []
     for k in range(len(CATEGORIES)):
         groups = rows.withColumn("left_out", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
-        found = materialize(groups.groupBy("left_out").applyInArrow(_fit(k), "kind int, name long, value double"), "fitted")
+        found = materialize(groups.groupBy("left_out").applyInArrow(_fit(k, {g: chosen[k, g] for g in range(FOLDS + 1)}), "kind int, name long, value double"), "fitted")
         model = {"features": {}, "earlier": [0.0] * k, "intercept": -20.0}
         for kind, name, value in found.where("kind > 0").collect():  # at most FEATURES + k + 1 numbers
             if kind == 1:
