@@ -8,8 +8,9 @@ over the windows that the fingerprint stands for. A line goes when it lies in a
 of ``window`` lines that also starts earlier (smaller id, or earlier in the same
 document); runs are judged on the input, so the first copy always stays whole.
 
-Rows of one fingerprint (or one window) are gathered by a salt of the document
-first, and only one small row per salt meets the others.
+Rows of one fingerprint (or one window) are never gathered: they are aggregated by a
+salt of the document's id and text to a count or a least place, only that one small
+row per salt meets the others, and it is joined back to the positions by salt.
 
 Defined results: lines are compared without blanks around them, blank lines are
 neither compared nor removed; a null text stays null and has no lines; documents
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 WINDOW, SALTS = 3, 64
 BLANKS = " \t\r\x0b\x0c"
@@ -88,19 +89,21 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = df.select(F.col(id_col).alias("id"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     prints = rows.mapInArrow(_fingerprints(window), f"id {kind}, key long, print long, at int, near array<long>")
-    salt = F.pmod("key", F.lit(SALTS)).cast("int")
+    # exact copies differ in their ids alone, so the salt is of both
+    prints = prints.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int"))
     # join positions: fingerprints that occur more than once
-    gathered = prints.groupBy("print", salt.alias("salt")).agg(F.collect_list(F.struct("id", "key", "at", "near")).alias("all"))
-    shared = (gathered.withColumn("n", F.sum(F.size("all")).over(Window.partitionBy("print"))).where("n > 1")
-              .select(F.explode("all").alias("o")).select("o.*"))
+    counts = prints.groupBy("print", "salt").agg(F.count(F.lit(1)).alias("n"))
+    often = (counts.withColumn("n", F.sum("n").over(Window.partitionBy("print"))).where("n > 1")
+             .select(F.col("print").alias("_print"), F.col("salt").alias("_salt")))
+    shared = materialize(prints.join(often, (F.col("print") == F.col("_print")) & (F.col("salt") == F.col("_salt")), "left_semi"), "line-prints")
     # extend: the windows on both sides that hold the fingerprint
-    runs = (shared.select("id", "key", "at", "near", F.explode(F.sequence(F.lit(0), F.size("near") - window)).alias("k"))
-            .select(F.slice("near", F.col("k") + 1, window).alias("run"), salt.alias("salt"),
+    runs = (shared.select("id", "key", "salt", "at", "near", F.explode(F.sequence(F.lit(0), F.size("near") - window)).alias("k"))
+            .select(F.slice("near", F.col("k") + 1, window).alias("run"), "salt",
                     F.struct("id", "key", (F.col("at") + F.col("k")).alias("start")).alias("place")))
-    gathered = runs.groupBy("run", "salt").agg(F.collect_set("place").alias("places"), F.min("place").alias("least"))
-    later = (gathered.withColumn("first", F.min("least").over(Window.partitionBy("run")))
-             .where((F.size("places") > 1) | (F.col("least") != F.col("first")))
-             .select("first", F.explode("places").alias("place")).where("place != first").select("place.*"))
+    least = runs.groupBy("run", "salt").agg(F.min("place").alias("least"))
+    least = least.select(F.col("run").alias("_run"), F.col("salt").alias("_salt"), F.min("least").over(Window.partitionBy("run")).alias("first"))
+    later = (runs.join(least, (F.col("run") == F.col("_run")) & (F.col("salt") == F.col("_salt")))
+             .where("NOT place <=> first").select("place.*"))
     return later.groupBy("id", "key").agg(F.collect_set("start").alias("starts"))
 
 

@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pairgrid.llm import line_dedup as L
 
@@ -49,3 +50,19 @@ def test_winnow_covers_every_window(hashes, w):
 
 def test_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_copies_are_spread_and_not_gathered(spark, monkeypatch):
+    copy, n = "\n".join(f"c{i}" for i in range(6)), 400
+    docs = [(i, copy if i % 2 else f"own {i}\nc1\nc2\nc3\nmore {i}") for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    shared = []
+    keep = L.materialize
+    monkeypatch.setattr(L, "materialize", lambda d, name: shared.append((keep(d, name), d)) or shared[-1][0])
+    later = L.repeated_windows(df)
+    plans = "".join(d._jdf.queryExecution().optimizedPlan().toString() for d in (later, *(d for _, d in shared)))
+    assert "collect_list" not in plans and "collect_set(place" not in plans
+    assert plans.count("collect_set(") == 1  # the starts of one document
+    # exact copies of one fingerprint have many salts
+    assert min(r["n"] for r in shared[0][0].where("id % 2 = 1").groupBy("print").agg(F.countDistinct("salt").alias("n")).collect()) > L.SALTS // 2
+    assert sorted((r[0], r[1], r[2], r[3]) for r in L.dedup_lines(df).collect()) == brute(docs)
