@@ -19,7 +19,10 @@ others are repeats.
 Documents are dealt to parts by a hash of their id. A part sends one row for each
 distinct gram and each distinct surrounding, however often it holds them, so a
 passage that fills a third of the corpus is a row for each part. The texts are
-shuffled once; the three steps that read them share that exchange.
+shuffled once; the three steps that read them share that exchange. A gram that
+occurs over ``HOT`` times, a phrase between ever different text, is not one bucket:
+its windows are bucketed by a digest of all their bytes, and a part sends each
+distinct window once, so no gram's surroundings have to fit one task.
 
 Defined results: a null text is empty; rows that share an id are documents in order
 of their text, and of equal rows all but one count as later copies; texts shorter
@@ -43,6 +46,8 @@ from .common import partitions, table
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at a time, and bytes of surroundings that are refined at a time.
 CHUNK, BLOCK = 1 << 18, 1 << 21
+#: Occurrences beyond which a gram's windows are bucketed one by one, and bytes of their digests.
+HOT, DIGEST = 10_000, 16
 _PLACE = np.uint64((1 << 20) - 1)
 _TABLE = np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,26 +119,29 @@ def _chunks(texts: list[bytes], length: int):
 
 
 def _bucket(length: int):
-    """A part -> its distinct grams, and whether it holds them more than once."""
+    """A part -> its distinct grams, and how often it holds them."""
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         _, texts = _documents(docs)
         hashes = [c[0] for c in _chunks(texts, length)]
         grams, counts = np.unique(np.concatenate(hashes) if hashes else np.empty(0, np.uint64), return_counts=True)
-        return pa.table({"gram": grams.view(np.int64), "part": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "more": counts > 1})
+        return pa.table({"gram": grams.view(np.int64), "part": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "times": counts})
     return run
 
 
-def _occurring_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some grams -> (part, gram) of those in more than one place."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-    if held:
-        gram, part, more = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(gram)
-        gram, part, more = gram[order], part[order], more[order]
-        start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, int)
-        n = np.diff(np.r_[start, len(gram)])
-        keep = more | np.repeat(n > 1, n)
-        yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(gram[keep])], names=["part", "gram"])
+def _occurring_twice(hot: int):
+    """All rows of some grams -> (part, gram, hot) of those in more than one place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[b.column(c).to_numpy() for c in range(3)] for b in batches]
+        if held:
+            gram, part, times = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(gram)
+            gram, part, times = gram[order], part[order], times[order]
+            start = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, int)
+            n = np.diff(np.r_[start, len(gram)])
+            total = np.repeat(np.add.reduceat(times, start), n) if len(gram) else times
+            keep = total > 1
+            yield pa.RecordBatch.from_arrays([pa.array(part[keep]), pa.array(gram[keep]), pa.array(total[keep] > hot)], names=["part", "gram", "hot"])
+    return run
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -151,20 +159,32 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 def _surroundings(length: int, id_type: pa.DataType):
     """A part and its grams in question -> each distinct surrounding once (the bytes of
-    a run of windows, n windows), and the spans of its later copies (no bytes)."""
+    a run of windows, n windows), or of a hot gram each distinct window (its digest, whose
+    beginning is the gram), and the spans of their later copies (no bytes)."""
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, grams: pa.Table) -> pa.Table:
         part = key[0].as_py()
         docs, texts = _documents(docs)
-        asked = np.sort(grams.column("gram").to_numpy().view(np.uint64))
+        asked = grams.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(asked)
+        asked, hot = asked[order], grams.column("hot").to_numpy()[order]
         seen: set[bytes] = set()
         rows: list[tuple[int, int, int, int, bytes]] = []
         spans: list[tuple[int, int, int]] = []
         for h, doc, start, n, place, joined in _chunks(texts, length) if len(asked) else ():
             at = np.searchsorted(asked, h)
             hit = np.flatnonzero(asked[np.minimum(at, len(asked) - 1)] == h)
-            for g, d, s, k, p in zip(h[hit].view(np.int64).tolist(), doc[hit].tolist(), start[hit].tolist(), n[hit].tolist(), place[hit].tolist()):
+            for g, x, d, s, k, p in zip(h[hit].view(np.int64).tolist(), hot[at[hit]].tolist(), doc[hit].tolist(), start[hit].tolist(),
+                                        n[hit].tolist(), place[hit].tolist()):
                 near = joined[p:p + k + length - 1]
-                if near in seen:
+                if x:
+                    for i in range(k):
+                        window = hashlib.blake2b(near[i:i + length], digest_size=DIGEST).digest()
+                        if window in seen:
+                            spans.append((d, s + i, s + i + length))
+                        else:
+                            seen.add(window)
+                            rows.append((int.from_bytes(window[:8], "little", signed=True), d, s + i, 1, window))
+                elif near in seen:
                     spans.append((d, s, s + len(near)))
                 else:
                     seen.add(near)
@@ -239,7 +259,7 @@ def _repeats(length: int):
         first[np.unique(kind, return_index=True)[1]] = True
         out.append([part[~first], doc[~first], start[~first], start[~first] + n[~first] + length - 1])
         # of equal surroundings the first is left; a bucket with one of them is done
-        left = np.flatnonzero(first)
+        left = np.flatnonzero(first & (pc.binary_length(rows.column("near")).to_numpy() >= length))  # digests are whole windows
         begin = np.flatnonzero(np.r_[True, gram[left][1:] != gram[left][:-1]]) if len(left) else left
         size = np.diff(np.r_[begin, len(left)])
         left = left[np.repeat(size > 1, size)]
@@ -287,8 +307,8 @@ def dedup_substrings(df: DataFrame, length: int = LENGTH, output: str = "kept",
     kind = docs.schema["id"].dataType.simpleString()
     arrow_id = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     docs = docs.repartition(p, "part")  # the one shuffle of the texts
-    grams = docs.groupBy("part").applyInArrow(_bucket(length), "gram long, part int, more boolean")
-    asked = grams.repartition(p, "gram").mapInArrow(_occurring_twice, "part int, gram long")
+    grams = docs.groupBy("part").applyInArrow(_bucket(length), "gram long, part int, times long")
+    asked = grams.repartition(p, "gram").mapInArrow(_occurring_twice(HOT), "part int, gram long, hot boolean")
     near = (docs.groupBy("part").cogroup(asked.groupBy("part"))
             .applyInArrow(_surroundings(length, arrow_id), f"gram long, part int, id {kind}, doc long, start long, n long, near binary"))
     spans = near.repartition(p, "gram").mapInArrow(_repeats(length), "part int, doc long, start long, end long")

@@ -81,3 +81,32 @@ def test_refine():
 
 def test_empty(spark):
     assert S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_grams_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 3)
+    docs = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for length in (100, 40):
+        assert sorted([tuple(r[:4]) + (bytes(r[4]),) for r in S.dedup_substrings(df, length).collect()], key=str) == brute(docs, length), length
+
+    # a phrase of 60 bytes between ever different text
+    rnd = random.Random(4)
+    other = lambda: "".join(rnd.choices("abcdefghijklmnop", k=90))
+    phrase = other()[:60]
+    docs = [(i, f"{other()}{phrase}{other()}") for i in range(300)]
+    whole = S._repeats
+
+    def checked(length):
+        run = whole(length)
+
+        def bounded(batches):
+            held = list(batches)
+            distinct = {(g, x) for b in held for g, x in zip(b.column(0).to_pylist(), b.column(6).to_pylist()) if x}
+            grams = [g for g, _ in distinct]
+            assert all(grams.count(g) <= 3 for g in set(grams)), "surroundings of a hot gram in one bucket"
+            return run(iter(held))
+        return bounded
+    monkeypatch.setattr(S, "_repeats", checked)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted([tuple(r[:4]) + (bytes(r[4]),) for r in S.dedup_substrings(df).collect()], key=str) == brute(docs, 100)
