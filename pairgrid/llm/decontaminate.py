@@ -106,10 +106,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any hit, with their columns; an id with a hit goes with all its rows."""
-    bad = hits(docs, benchmark, id_col=id_col, text_col=text_col).where(F.size("positions") > 0).select(F.col(id_col).alias("_bad")).distinct()
+    """The documents without any hit, with their columns; of the rows that share an id only those with a hit go."""
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    own = docs.select(F.struct(docs[id_col].alias("id"), key.alias("key")).alias("own"), docs[text_col].alias("text"))
+    bad = hits(own, benchmark, id_col="own").where(F.size("positions") > 0).select(F.col("own.id").alias("_bad"), F.col("own.key").alias("_key")).distinct()
     bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (key == bad["_key"]), "left_anti")
 
 
 def op4_decontaminate(spark, sf_dir):

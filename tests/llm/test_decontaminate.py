@@ -53,3 +53,12 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     assert D.hits(none, bench).collect() == []
     assert [tuple(r) for r in D.hits(one, bench).collect()] == [(1, 2, [], [])]
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    hit = " ".join(f"w{i}" for i in range(12))
+    docs = [(None, hit), (None, "clean one"), (None, None), (None, "clean one"), (7, hit), (7, "clean two"), (7, ""), (8, hit + " more")]
+    df = spark.createDataFrame([(t, d, i) for i, (d, t) in enumerate(docs)], "text string, doc_id long, at int")
+    bench = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    clean = D.drop_contaminated(df, bench)
+    assert clean.columns == df.columns and sorted(r["at"] for r in clean.collect()) == [1, 2, 3, 5, 6]
