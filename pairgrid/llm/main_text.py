@@ -3,8 +3,10 @@
 Every page's containers are scored by the paragraphs they hold; containers of menus,
 headers, adverts, forms, comments and the like are out. A container's generalised
 path (tags with their classes, digits made 0) gets the page's vote by its share of
-the page's score. Votes are added up for each host in Spark, and the pages are read
-again with the winning path of their host. A page without that path falls back to its
+the page's score. Votes are added up for each host in Spark. The pages are read again
+with the winning path of their host, which is shortened to the smallest container
+that covers the other text, as title and lead, of most of them; then once more with
+that path. A page without that path falls back to its
 own best container. White space inside a block becomes one space, character
 references are decoded, and blocks are joined by an empty line.
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_side, table
@@ -179,6 +181,25 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["host", "path", "votes"])
 
 
+def _covering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, path) -> (host, depth): steps of the path to the smallest container around
+    the text of a page that has it, links aside."""
+    for batch in batches:
+        hosts, depths = [], []
+        for host, html, path in zip(*(c.to_pylist() for c in batch.columns)):
+            blocks = parse(html or "")
+            if not _inside(blocks, path):
+                continue
+            steps = path.split(">")
+            depth = len(steps)
+            for other in {node.path for node, text, links in blocks if node.tag and not node.noise and 2 * links < len(text)}:
+                own = other.split(">")
+                depth = next((i for i, (a, b) in enumerate(zip(steps[:depth], own)) if a != b), min(depth, len(own)))
+            hosts.append(host)
+            depths.append(depth if depth > 1 else len(steps))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(depths, pa.int32())], names=["host", "depth"])
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [extract(html, path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -197,10 +218,24 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return total.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"))
 
 
+def covering_paths(pages: DataFrame, winners: DataFrame) -> DataFrame:
+    """(host, path): the winning path, or the container around it that covers the text of
+    more than half of the host's pages. pages: host, html; winners: a materialised table."""
+    seen = pages.join(small_side(winners), "host").select("host", "html", "path").mapInArrow(_covering, "host string, depth int")
+    n = seen.groupBy("host", "depth").agg(F.count(F.lit(1)).alias("n"))
+    deeper = F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("depth")))
+    depth = (n.withColumn("deeper", deeper).withColumn("all", F.sum("n").over(Window.partitionBy("host")))
+             .where("2 * deeper > all").groupBy("host").agg(F.max("depth").alias("depth")))
+    return (winners.join(depth, "host", "left")
+            .select("host", F.when(F.col("depth").isNull(), F.col("path")).otherwise(
+                F.array_join(F.slice(F.split("path", ">"), 1, F.col("depth")), ">")).alias("path")))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars for every page."""
     winners = materialize(winning_paths(pages, url_col, html_col), "paths")
     p = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
+    winners = materialize(covering_paths(p, winners), "covering")
     both = p.join(small_side(winners), "host", "left").select("page", "url", "html", "path")
     kind = p.schema["page"].dataType.simpleString()
     return both.mapInArrow(_extracted, f"page {kind}, url string, text string, n_chars long").toDF(id_col, url_col, "text", "n_chars")

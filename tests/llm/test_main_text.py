@@ -40,6 +40,16 @@ def test_article_among_noise(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and len(got) == len(rows)
 
 
+def test_title_and_lead_beside_a_large_body(spark):
+    long = "A long paragraph, with words, and commas, that goes on, and on, about number %d of this page."
+    html = ('<html><body><nav><a href="/">Home, and others</a></nav><article><h1>Title %d</h1><div class="lead"><p>The lead of page number %d, in short.</p></div>'
+            '<div class="body">' + "".join(f"<p>{long}</p>" for _ in range(4)) + "</div></article></body></html>")
+    df = spark.createDataFrame([(i, "http://a.example/", html % ((i,) * 6)) for i in range(5)], "page_id long, url string, html string")
+    for r in M.main_text(df).collect():
+        i = r["page_id"]
+        assert r["text"].split("\n\n") == [f"Title {i}", f"The lead of page number {i}, in short.", *[long % i] * 4]
+
+
 def test_page_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in M.main_text(pages).collect()}
