@@ -8,7 +8,9 @@ with the winning path of their host, which is shortened to the smallest containe
 that covers the other text, as title and lead, of most of them; then once more with
 that path. A page without that path falls back to its
 own best container. White space inside a block becomes one space, character
-references are decoded, and blocks are joined by an empty line.
+references are decoded, and blocks are joined by an empty line. What is noise by its
+class, id or as a form is kept when it holds most of the page's text (a wrapper or
+form over half of it, others over nine tenths, comments all).
 
 Defined results: null or empty html and pages without a container of text have an
 empty text; a null url, or one without a host, belongs to the host ""; repeated rows
@@ -31,7 +33,7 @@ from .common import materialize, small_side, table
 CONTAINERS = frozenset("html body div article section main td th table tbody tr ul ol dl li blockquote center nav header footer aside form "
                        "figure details dialog fieldset menu search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr dt dd address figcaption summary caption thead tfoot option legend".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button head audio video canvas".split())
+RAW = frozenset("script style title textarea noscript template iframe svg math object select button audio video canvas".split())
 #: Elements, roles and name parts of what is not the article.
 NOISE_TAGS = frozenset("nav header footer aside form menu search dialog fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -45,29 +47,64 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_SAME = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in ("button", "select", "noscript")}  # do not nest
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+#: Names that hold the article as often as not, and names of what may well be longer than it.
+_WRAPPER = re.compile(r"(?:^|\s)(?:(?:has|no|not|with|without)-\S+|\S+-(?:wrap|wrapper|container|layout|content|page|area|inner|outer))(?:$|\s)", re.I)
+_REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies)(?:$|[\s_-])", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "parent", "score")
+    __slots__ = ("tag", "path", "noise", "parent", "score", "most", "named", "held")
 
-    def __init__(self, tag: str, path: str, noise: bool, parent: _Node | None):
+    def __init__(self, tag: str, path: str, noise: bool, parent: _Node | None, most: float | None = None):
         self.tag, self.path, self.noise, self.parent, self.score = tag, path, noise, parent, 0.0
+        self.most = most  # noise by its name, unless it holds over this share of the page's text
+        self.named = self if most is not None else parent.named if parent else None
+        self.held = 0
 
 
 def _noise(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
+    """Noise whatever it holds."""
+    return (tag in NOISE_TAGS and tag != "form" or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+            or attrs.get("role", "").lower() in NOISE_ROLES)
+
+
+def _named_noise(tag: str, attrs: dict[str, str]) -> float | None:
+    """The share of the page's text over which an element is the article in spite of its
+    name, None when nothing names it noise: a form or wrapper half, comments all."""
     if tag in ("html", "body", "main"):  # their classes tell what a page has besides the article
-        return False
-    return any(NOISE_NAMES.search(attrs.get(a, "")) for a in ("class", "id"))
+        return None
+    names = [n for a in ("class", "id") if NOISE_NAMES.search(n := attrs.get(a, ""))]
+    if not names:
+        return .5 if tag == "form" else None
+    if all(_WRAPPER.search(n) for n in names):
+        return .5
+    return .999 if any(_REPLIES.search(n) for n in names) else .9
+
+
+def _settle(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Noise by name is noise, and all in it, unless it holds most of the page's text."""
+    total = 0
+    for node, text, links in blocks:
+        if not node.noise and len(text) >= 25:
+            size = max(0, len(text) - links)
+            total += size
+            named = node.named
+            while named is not None:
+                named.held += size
+                named = named.parent.named
+    for node in nodes:  # parents come first
+        node.noise = node.noise or node.parent.noise or node.most is not None and node.held <= node.most * total
 
 
 def parse(html: str) -> list[tuple[_Node, str, int]]:
     """Blocks in page order: the innermost container, the text, characters in links.
     A noisy element that holds no block-level text of its own, as a span, is left out too."""
     root = _Node("", "", False, None)
-    stack, blocks, piece = [root], [], []
+    stack, blocks, piece, nodes = [root], [], [], []
+    closes: dict[str, re.Match | None] = {}  # the next end tag of raw elements, None when there is none from here on
     links = held = 0
     muted = ""  # an inline or paragraph element that is noise, until its end tag
     at = 0
@@ -110,8 +147,18 @@ def parse(html: str) -> list[tuple[_Node, str, int]]:
             continue
         if tag in RAW:
             if not attrs.endswith("/"):
-                close = _CLOSE[tag].search(html, at)
-                at = close.end() if close else len(html)
+                if tag not in closes or closes[tag] and closes[tag].start() < at:
+                    closes[tag] = _CLOSE[tag].search(html, at)
+                close = closes[tag]
+                if close and tag in _SAME and _SAME[tag].search(html, at, close.start()):
+                    close = None
+                if not close:  # ends where a block does or begins
+                    close = _BLOCK.search(html, at)
+                    at = close.start() if close else len(html)
+                else:
+                    at = close.end()
+            continue
+        if tag == "head":
             continue
         if tag == "br":
             if not muted:
@@ -129,12 +176,14 @@ def parse(html: str) -> list[tuple[_Node, str, int]]:
                 stack.pop()
             top = stack[-1]
             classes = ".".join(sorted(set(_DIGITS.sub("0", named.get("class", "")).lower().split())))
-            stack.append(_Node(tag, f"{top.path}>{tag}" + (f".{classes}" if classes else ""), top.noise or _noise(tag, named), top))
-        elif named and not muted and not attrs.endswith("/") and _noise(tag, named):
+            stack.append(_Node(tag, f"{top.path}>{tag}" + (f".{classes}" if classes else ""), top.noise or _noise(tag, named), top, _named_noise(tag, named)))
+            nodes.append(stack[-1])
+        elif named and not muted and not attrs.endswith("/") and (_noise(tag, named) or _named_noise(tag, named) is not None):
             muted = tag
     if at < len(html) and not muted:
         piece.append(html[at:])
     flush()
+    _settle(nodes, blocks)
     return blocks
 
 

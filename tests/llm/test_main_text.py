@@ -50,6 +50,28 @@ def test_title_and_lead_beside_a_large_body(spark):
         assert r["text"].split("\n\n") == [f"Title {i}", f"The lead of page number {i}, in short.", *[long % i] * 4]
 
 
+ARTICLE = "".join(f"<p>Paragraph {i} of the article, with words, and commas, that goes on.</p>" for i in range(4))
+WHOLE = "\n\n".join(f"Paragraph {i} of the article, with words, and commas, that goes on." for i in range(4))
+
+
+@pytest.mark.parametrize("wrap", ['div class="content-sidebar-wrap"', 'div class="has-sidebar"', 'div class="no-comments"', 'div id="with-header"', 'form action="/page.aspx"'])
+def test_wrapper_of_the_whole_page_is_no_noise(wrap):
+    html = (f'<html><body><{wrap}><div class="post">{ARTICLE}</div><div class="sidebar"><p>Related stories, more, and others.</p></div></{wrap.split()[0]}>'
+            '<div class="cookie-notice"><p>We use cookies, as others do too.</p></div></body></html>')
+    assert M.extract(html, None) == WHOLE
+
+
+def test_names_of_noise_still_count():
+    html = f'<body><div class="post">{ARTICLE}</div><div class="comments">{"<p>Long, long comment, by some reader, about it.</p>" * 80}</div></body>'
+    assert M.extract(html, None) == WHOLE
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>T</title><meta charset=utf-8><body>", "<html><head><title>T</title><div>", "<html><head><title>T<body>",
+                                   "<html><body><button>Menu", "<html><body><noscript>Turn it on", "<html><body><select><option>a<option>b"])
+def test_missing_end_tags(start):
+    assert M.extract(f'{start}<div class="post">{ARTICLE}</div><button>Send</button>', None) in (WHOLE, f"a\n\nb\n\n{WHOLE}")
+
+
 def test_page_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in M.main_text(pages).collect()}
