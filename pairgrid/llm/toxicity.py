@@ -32,7 +32,7 @@ from .common import materialize, table
 
 #: The chain, and the category that decides.
 CATEGORIES, DECIDES, CUT = ("low_quality", "toxic", "toxic_low_quality"), "toxic", 0.5
-SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 1024, 25.0, 0.1, 2.0
+SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 4096, 25.0, 0.1, 2.0
 #: Words whose features a worker remembers.
 KNOWN = 300_000
 _WORDS = re.compile(r"\w+")
@@ -113,7 +113,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         return c @ (np.logaddexp(0, z) - y * z) + (penalty * w * w).sum() / 2
 
     now = loss(w)
-    for _ in range(8):
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -40, 40)))
         grad = back(c * (p - y)) + penalty * w
         d = c * p * (1 - p) + 1e-9
@@ -122,7 +122,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         z = scale * r
         direction, rz = z.copy(), r @ z
         least = 1e-8 * rz
-        for _ in range(12):
+        for _ in range(50):
             if rz <= least:
                 break
             h = back(d * forward(direction)) + penalty * direction

@@ -21,6 +21,26 @@ def test_logistic_gradient_is_zero():
     assert np.abs(grad).max() < 1e-2
 
 
+def test_logistic_converges_with_many_features():
+    r = np.random.default_rng(1)
+    n, width = 3000, 600
+    often = 1 / np.arange(1, width + 1)
+    own = [np.unique(r.choice(width, 30, p=often / often.sum())) for _ in range(n)]
+    rows, cols = np.repeat(np.arange(n), [len(c) for c in own]), np.concatenate(own)
+    z = np.bincount(rows, r.normal(0, 2, width)[cols], n)
+    y = (z > np.quantile(z, .8)).astype(float)
+    w = X.logistic(rows, cols, np.empty((n, 0)), y, width, ridge=.1)
+    off = 1 / (1 + np.exp(-np.bincount(rows, w[cols], n) - w[-1])) - y
+    assert np.abs(np.r_[np.bincount(cols, off[rows], width) + .1 * w[:width], off.sum() + 1e-6 * w[-1]]).max() < .02
+
+
+def test_all_associated_features_are_kept(spark):
+    told = " ".join(f"{i:04d}" for i in range(1500))
+    docs = spark.createDataFrame([(i, told if i % 2 else f"other words {i}") for i in range(100)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    assert len(X.train(docs, labels)[1]["features"]) > 1500
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     test = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
