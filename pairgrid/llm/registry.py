@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, jaccard_join, line_dedup, main_text, privacy, sharding, suffix_dedup, toxicity
+from . import bpe, conversation_repair, decontaminate, fingerprint, jaccard_join, line_dedup, main_text, privacy, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_iblt_fingerprints": fingerprint.op8_iblt_fingerprints,
     "op9_lsh_forest": jaccard_join.op9_lsh_forest,
     "op10_trie_bpe": bpe.op10_trie_bpe,
+    "op13_lightest_repair": conversation_repair.op13_lightest_repair,
 }
 ORACLES = {
     "op2_winnow_lines": line_dedup.OP2_SQL,
