@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, decontaminate, embedding_dedup, fingerprint, jaccard_join, line_dedup, main_text, privacy, sharding, suffix_dedup, toxicity
+from . import bpe, collocations, conversation_repair, decontaminate, embedding_dedup, fingerprint, jaccard_join, line_dedup, main_text, privacy, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_iblt_fingerprints": fingerprint.op8_iblt_fingerprints,
     "op9_lsh_forest": jaccard_join.op9_lsh_forest,
     "op10_trie_bpe": bpe.op10_trie_bpe,
+    "op11_misra_gries_phrases": collocations.op11_misra_gries_phrases,
     "op12_rotation_codes": embedding_dedup.op12_rotation_codes,
     "op13_lightest_repair": conversation_repair.op13_lightest_repair,
 }
 ORACLES = {
     "op2_winnow_lines": line_dedup.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op11_misra_gries_phrases": collocations.OP11_SQL,
     "op12_rotation_codes": embedding_dedup.OP12_SQL,
 }
