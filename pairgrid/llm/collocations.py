@@ -39,7 +39,7 @@ from .common import materialize, partitions, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text that are cut into words at a time; n-grams that a task counts before it sends them; bytes of text a hash partition.
-CHUNK, HELD, SHARE = 8 << 20, 4 << 20, 1 << 30
+CHUNK, HELD, SHARE = 2 << 20, 2 << 20, 1 << 30
 #: Bits of the broadcast filter (16 MB, whatever the input) and bits that a survivor sets.
 FILTER_BITS, PROBES = 1 << 27, 4
 
