@@ -29,17 +29,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import materialize, partitions, small_batches, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-#: Bytes of text that are cut into words at a time; n-grams that a task counts before it sends them; bytes of text a hash partition.
-CHUNK, HELD, SHARE = 2 << 20, 2 << 20, 1 << 30
+#: Bytes of text that are cut into words at a time; n-grams that a task counts before it sends them; phrases that it counts exactly; bytes of text a hash partition.
+CHUNK, HELD, KEPT, SHARE = 2 << 20, 2 << 20, 200_000, 1 << 30
 #: Bits of the broadcast filter (16 MB, whatever the input) and bits that a survivor sets.
 FILTER_BITS, PROBES = 1 << 27, 4
 
@@ -56,6 +55,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _hash(strings: pa.LargeBinaryArray) -> np.ndarray:
+    """Polynomial hashes of byte strings."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[:len(strings) + 1]
+    sizes = np.diff(offsets)
+    if not len(sizes) or not offsets[-1]:
+        return np.zeros(len(sizes), np.uint64)
+    data = np.frombuffer(strings.buffers()[2], np.uint8)[:offsets[-1]].astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.full(int(sizes.max()), _B))
+    data *= powers[np.arange(len(data)) - np.repeat(offsets[:-1], sizes)]
+    out, full = np.zeros(len(sizes), np.uint64), sizes > 0
+    out[full] = np.add.reduceat(data, offsets[:-1][full])
+    return _mix(out)
+
+
 class Words:
     """The words of some texts: ``code`` into ``dictionary``, ``lang`` code, ``after`` (the
     word follows the one before it in a piece)."""
@@ -72,7 +85,7 @@ class Words:
         lengths = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths), pa.py_buffer(data[inside])])
         coded = words.dictionary_encode()
-        self.dictionary = np.array(coded.dictionary.to_pylist(), object)
+        self.words = coded.dictionary
         self.code = np.asarray(coded.indices).astype(np.int64)
         tongue = langs.dictionary_encode()
         self.langs = tongue.dictionary.to_pylist()
@@ -86,9 +99,8 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A hash of each word and its language."""
-        word = pd.util.hash_array(self.dictionary, categorize=False) if len(self.dictionary) else np.zeros(0, np.uint64)
-        tongue = pd.util.hash_array(np.array(self.langs, object), categorize=False) if self.langs else np.zeros(0, np.uint64)
-        return _mix(word[self.code] + _B * tongue[self.lang])
+        langs = pa.array([x.encode() for x in self.langs], pa.large_binary())
+        return _mix(_hash(self.words)[self.code] + _B * _hash(langs)[self.lang])
 
 
 def _longer(before: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
@@ -119,7 +131,7 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _probe(hashes: np.ndarray, k: int) -> np.ndarray:
-    return _mix(hashes + np.uint64(k) * _B) % np.uint64(FILTER_BITS)
+    return _mix(hashes + np.uint64(k * int(_B) % 2**64)) % np.uint64(FILTER_BITS)
 
 
 # --- first pass ---------------------------------------------------------------------
@@ -242,38 +254,57 @@ def _filter(spark: SparkSession, found: DataFrame):
 
 def _count(pairs, longer):
     """Texts -> lang, size, phrase, f: counts of all words, and of the n-grams that pass
-    the filters, by the words themselves."""
+    the filters, by the words themselves. A task sends its counts when it has KEPT phrases."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], dict[bytes, int]] = {}
         for w in _blocks(batches):
             if not len(w.code):
                 continue
-            yield _rows(w, 1, *np.unique(w.lang * len(w.dictionary) + w.code, return_index=True, return_counts=True)[1:])
-            v, h1, begins = len(w.dictionary), w.hashes(), w.pairs()
+            v, h1, begins = len(w.words), w.hashes(), w.pairs()
+            _, first, count = np.unique(w.lang * v + w.code, return_index=True, return_counts=True)
+            _add(held, w, 1, first, count)
             h = _longer(h1, h1, 2)
             begins[begins] = passes(pairs.value, h[begins])
-            at = np.flatnonzero(begins)
+            at, last = np.flatnonzero(begins), len(begins) - 1
             name = np.zeros(len(begins), np.int64)  # numbers equal n-grams alike
-            _, first, name[at], count = np.unique((w.lang[at] * v + w.code[at]) * v + w.code[np.minimum(at + 1, len(begins) - 1)], return_index=True, return_inverse=True, return_counts=True)
-            yield _rows(w, 2, at[first], count)
+            _, first, name[at], count = np.unique((w.lang[at] * v + w.code[at]) * v + w.code[np.minimum(at + 1, last)], return_index=True, return_inverse=True, return_counts=True)
+            _add(held, w, 2, at[first], count)
             run_on = begins
             for size in range(3, LONGEST + 1):
                 h = _longer(h, h1, size)
                 run_on = run_on & np.append(begins[size - 2:], np.zeros(size - 2, bool))[:len(begins)]
                 at = np.flatnonzero(run_on)
-                _, first, inverse, count = np.unique(name[at] * v + w.code[np.minimum(at + size - 1, len(begins) - 1)], return_index=True, return_inverse=True, return_counts=True)
+                _, first, inverse, count = np.unique(name[at] * v + w.code[np.minimum(at + size - 1, last)], return_index=True, return_inverse=True, return_counts=True)
                 name = np.zeros(len(begins), np.int64)
                 name[at] = inverse
                 keep = passes(longer.value, h[at[first]])
-                yield _rows(w, size, at[first][keep], count[keep])
+                _add(held, w, size, at[first][keep], count[keep])
+            if sum(map(len, held.values())) >= KEPT:
+                yield from _rows(held)
+        yield from _rows(held)
     return run
 
 
-def _rows(w: Words, size: int, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    text = w.dictionary[w.code[at]] if len(at) else np.zeros(0, object)
+def _add(held: dict, w: Words, size: int, at: np.ndarray, count: np.ndarray) -> None:
+    """Add the n-grams that begin at ``at`` to the counts by (lang, size)."""
+    if not len(at):
+        return
+    text = w.words.take(pa.array(w.code[at]))
     for k in range(1, size):
-        text = text + b" " + w.dictionary[w.code[at + k]]
-    return pa.RecordBatch.from_arrays([pa.array([w.langs[k] for k in w.lang[at]], pa.string()), pa.array(np.full(len(at), size, np.int32)),
-                                       pa.array(text.tolist(), pa.binary()).cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "size", "phrase", "f"])
+        text = pc.binary_join_element_wise(text, w.words.take(pa.array(w.code[at + k])), pa.scalar(b" ", pa.large_binary()))
+    for code in np.unique(w.lang[at]):
+        some = w.lang[at] == code
+        counts = held.setdefault((w.langs[code], size), {})
+        for phrase, f in zip(text.filter(pa.array(some)).to_pylist(), count[some].tolist()):
+            counts[phrase] = counts.get(phrase, 0) + f
+
+
+def _rows(held: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, size), counts in held.items():
+        n = len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(counts.keys(), pa.binary()).cast(pa.string()),
+                                          pa.array(counts.values(), pa.int64())], ["lang", "size", "phrase", "f"])
+    held.clear()
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -283,10 +314,11 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // SHARE))
-    pairs = _filter(spark, survivors(docs, least, parts))
-    longer = _filter(spark, survivors(docs, least, parts, pairs))
-    counted = docs.mapInArrow(_count(pairs, longer), "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return materialize(counted.where((F.col("size") == 1) | (F.col("f") >= least)), "phrase-counts")
+    with small_batches(spark, 4 * CHUNK):
+        pairs = _filter(spark, survivors(docs, least, parts))
+        longer = _filter(spark, survivors(docs, least, parts, pairs))
+        counted = docs.mapInArrow(_count(pairs, longer), "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+        return materialize(counted.where((F.col("size") == 1) | (F.col("f") >= least)), "phrase-counts")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
