@@ -38,7 +38,7 @@ from .common import materialize, partitions, small_batches, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text that are cut into words at a time; n-grams that a task counts before it sends them; phrases that it counts exactly; bytes of text a hash partition.
-CHUNK, HELD, KEPT, SHARE = 2 << 20, 2 << 20, 200_000, 1 << 30
+CHUNK, HELD, KEPT, SHARE = 2 << 20, 1 << 20, 200_000, 1 << 30
 #: Bits of the broadcast filter (16 MB, whatever the input) and bits that a survivor sets.
 FILTER_BITS, PROBES = 1 << 27, 4
 
@@ -314,7 +314,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // SHARE))
-    with small_batches(spark, 4 * CHUNK):
+    with small_batches(spark, 2 * CHUNK):
         pairs = _filter(spark, survivors(docs, least, parts))
         longer = _filter(spark, survivors(docs, least, parts, pairs))
         counted = docs.mapInArrow(_count(pairs, longer), "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
