@@ -205,12 +205,14 @@ class Summary:
 
 
 def _merge(least: int):
-    """Rows of ``_send`` sorted by (p, kind) -> hashes that may have ``least`` occurrences."""
+    """Rows of ``_send`` sorted by (p, kind) -> the filter's bits (word, bit) of the hashes
+    that may have ``least`` occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, mass, summary = None, 0, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(summary.frequent(least).view(np.int64))], ["hash"])
+            at = np.concatenate([_probe(summary.frequent(least), k) for k in range(PROBES)])
+            return pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -230,21 +232,16 @@ def _merge(least: int):
 
 
 def survivors(docs: DataFrame, least: int, parts: int, known=None) -> DataFrame:
-    """(lang, text) -> hash: of all n-grams with ``least`` occurrences, and some others."""
+    """(lang, text) -> word, bit: filter bits of all n-grams with ``least`` occurrences, and
+    of some others."""
     sent = docs.mapInArrow(_send(parts, known), _SENT)
-    return sent.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(_merge(least), "hash long")
+    return sent.repartition(parts, "p").sortWithinPartitions("p", "kind").mapInArrow(_merge(least), "word long, bit long")
 
 
 def _filter(spark: SparkSession, found: DataFrame):
-    """The broadcast filter of hashes. Its words are put together by aggregation; at most
+    """The broadcast filter of survivors. Its words are put together by aggregation; at most
     FILTER_BITS / 64 of them come to the driver."""
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.asarray(b.column(0)).view(np.uint64)
-            at = np.concatenate([_probe(h, k) for k in range(PROBES)])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
-
-    words = found.mapInArrow(probes, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[np.asarray(words.column("word").combine_chunks())] = np.asarray(words.column("bits").combine_chunks()).view(np.uint64)
     return spark.sparkContext.broadcast(bits)
