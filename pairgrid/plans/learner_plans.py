@@ -12,17 +12,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairgrid.functions.columns import cut_right_closed
+from pairgrid.operators import curate as CU
 from pairgrid.operators import features as FT
 from pairgrid.operators import report as G
 from pairgrid.operators.models import closed_form as CF
 from pairgrid.operators.models import ffm as M
 from pairgrid.operators.models import learners as L
+from pairgrid.operators.models import ridge_path as RP
 from pairgrid.operators.reshape import best_per_group, union_predictions
 from pairgrid.plans import design as D
 from pairgrid.plans import shrunk_means as SM
 from pairgrid.plans.curation import EDGES_SQL
 from pairgrid.plans.feature_plans import CHEM_TEXT_SQL, CODES_SQL, DESIGN4_SQL, FP_SQL
-from pairgrid.plans.roles import K_FOLDS, OBS_SQL, with_sql
+from pairgrid.plans.roles import K_FOLDS, OBS_SQL, observations, with_sql
 from pairgrid.session import ensure_checkpoint_dir
 
 FOLD_COL = {"setting1": "fold1", "setting2": "fold2"}
@@ -75,11 +78,69 @@ def ridge_predictions(spark, sf_dir, model: str, setting: str, alpha: float = RI
     return holdout(rows, lambda tr: L.fit_ridge(tr, alpha))
 
 
+def ridge_problem(spark, sf_dir) -> RP.Problem:
+    """LM3 and LM4 of both settings as fold cells; rows need no id for that."""
+    ensure_checkpoint_dir(spark)
+    obs = observations(spark, sf_dir, index=False)
+    edges = CU.frequent_edges(obs, "duration", lo=0.0, min_share=D.EDGE_SHARE)
+    rows = CU.category_code(obs.withColumn("d", cut_right_closed("duration", edges) - 1), "species", "s")
+    fp = CU.log_ratio_scale(D.chem_fingerprint(spark, sf_dir, obs), "bit", "cnt", "val")
+    rows = rows.select("s", F.col("chem").alias("c"), "d", "y", "fold1", "fold2", "inner1", "inner2")
+    return RP.problem(rows, fp.select(F.col("chem").alias("c"), "bit", "val"), SM.SETTING_FOLDS, K_FOLDS)
+
+
+def ridge_path(spark, sf_dir):
+    """The problem, its narrow weights, all validation errors and the chosen penalties."""
+    p = ridge_problem(spark, sf_dir)
+    weights = RP.solve(p, CF.ALPHA_GRID)
+    scores = RP.score(p, weights).checkpoint(eager=True)
+    return p, weights, scores, SM.best_alphas(RP.grid(scores)).select("setting", "model", "fold", "alpha").checkpoint(eager=True)
+
+
+def q_grid_search_ridge(spark, sf_dir):
+    """R12 for LM3 and LM4: all penalties on nested folds from one scan."""
+    p = ridge_problem(spark, sf_dir)
+    return RP.grid(RP.score(p, RP.solve(p, CF.ALPHA_GRID))).select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
+
+
+def _chosen_scores(scores: DataFrame, best: DataFrame) -> DataFrame:
+    return scores.where("i = 0").withColumnRenamed("o", "fold").join(F.broadcast(best), ["setting", "model", "fold", "alpha"])
+
+
 def q_fit_ridge(spark, sf_dir):
-    c = D.coded_observations(spark, sf_dir)
-    parts = [fold_report(ridge_predictions(spark, sf_dir, m, s, coded=c), m, s)
-             for m, s in [("LM3", "setting1"), ("LM4", "setting1"), ("LM4", "setting2")]]
-    return union_predictions(parts)
+    """The outer fits at the penalty that nested folds choose."""
+    _, _, scores, best = ridge_path(spark, sf_dir)
+    return _chosen_scores(scores, best).select("model", "setting", "fold", F.round(F.sqrt(F.col("sse") / F.col("n")), 6).alias("rmse"), "n")
+
+
+def q_ridge_normal_equations(spark, sf_dir):
+    """What any right fit fulfils: per outer fold of LM3 and LM4 the rows, the largest
+    violated normal equation (from predictions, not from the solver's sums) and whether
+    the training error is no worse than that of the training mean."""
+    p, weights, _, best = ridge_path(spark, sf_dir)
+    predicted, narrow, of_chems = RP.fitted(p, weights, best)
+    predicted = predicted.checkpoint(eager=True)
+    keys = ["setting", "model", "fold"]
+    residual = RP.normal_equations(p, predicted, narrow.union(of_chems))
+    train, test = F.col("f") != F.col("fold"), F.col("f") == F.col("fold")
+    total = lambda c, side: F.sum(F.when(side, F.col(c)).otherwise(0))
+    loss = F.col("n") * F.col("y_pred") * F.col("y_pred") - 2 * F.col("sy") * F.col("y_pred")  # squared error less the sum of y^2
+    sums = predicted.groupBy(*keys).agg(total("n", train).alias("n_train"), total("n", test).alias("n_test"), total("sy", train).alias("sy"), F.sum(F.when(train, loss).otherwise(0.0)).alias("loss"))
+    null = -F.col("sy") * F.col("sy") / F.col("n_train")
+    return sums.join(residual, keys).select(*keys, F.col("n_train").cast("long").alias("n_train"), F.col("n_test").cast("long").alias("n_test"),
+                                            F.round("residual", 6).alias("residual"), (F.col("loss") <= null + 1e-6).alias("fits_training"))
+
+
+def ridge_row_predictions(spark, sf_dir) -> DataFrame:
+    """R11 for LM3 and LM4: (model, setting, fold, index, y_pred, y) of every row."""
+    p, weights, _, best = ridge_path(spark, sf_dir)
+    cells = RP.fitted(p, weights, best)[0].where("f = fold").select("setting", "model", "fold", "s", "c", "d", "y_pred")
+    obs = observations(spark, sf_dir)
+    edges = CU.frequent_edges(obs, "duration", lo=0.0, min_share=D.EDGE_SHARE)
+    rows = CU.category_code(obs.withColumn("d", cut_right_closed("duration", edges) - 1), "species", "s")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.col(f).cast("int").alias("fold")) for s, (f, _) in SM.SETTING_FOLDS.items()]))
+    rows = rows.select(each.alias("x"), F.col("s").cast("long").alias("s"), F.col("chem").cast("long").alias("c"), F.coalesce(F.col("d").cast("long"), F.lit(-1).cast("long")).alias("d"), "idx", "y").select("x.*", "s", "c", "d", "idx", "y")
+    return rows.join(cells, ["setting", "fold", "s", "c", "d"]).select("model", "setting", "fold", F.col("idx").alias("index"), "y_pred", "y")
 
 
 def q_fit_ridge_interactions(spark, sf_dir):
@@ -169,13 +230,8 @@ def q_fit_hidden_layer(spark, sf_dir):
 
 
 def all_predictions(spark, sf_dir) -> DataFrame:
-    """Closed-form family ∪ ridge family, one long prediction table."""
-    cf = SM.predictions(spark, sf_dir)
-    c = D.coded_observations(spark, sf_dir)
-    ridge = [ridge_predictions(spark, sf_dir, m, s, coded=c).select(
-        F.lit(m).alias("model"), F.lit(s).alias("setting"), "fold", "index", "y_pred", "y")
-        for m, s in [("LM3", "setting1"), ("LM4", "setting1"), ("LM4", "setting2")]]
-    return union_predictions([cf, *ridge])
+    """Closed-form family ∪ ridge family at chosen penalties, one long prediction table."""
+    return union_predictions([SM.predictions(spark, sf_dir), ridge_row_predictions(spark, sf_dir)])
 
 
 def q_union_predictions(spark, sf_dir):
@@ -215,7 +271,9 @@ def q_grid_refine(spark, sf_dir):
 
 
 QUERIES = {
+    "grid_search_ridge": q_grid_search_ridge,
     "fit_ridge": q_fit_ridge,
+    "ridge_normal_equations": q_ridge_normal_equations,
     "fit_ridge_interactions": q_fit_ridge_interactions,
     "fit_forest": q_fit_forest,
     "fit_boosted": q_fit_boosted,
@@ -254,6 +312,13 @@ pairs AS (SELECT pa.idx, sum(list_dot_product(pa.vla, vb.vl) * pa.xa * pa.xb) AS
 lsum AS (SELECT idx, sum(w * val) AS lin FROM fld JOIN lin USING (feature) GROUP BY idx)"""
 
 ORACLES = {
+    "ridge_normal_equations": with_sql(OBS_SQL) + """
+SELECT m.setting, m.model, o.fold, count(*) FILTER (f <> o.fold) AS n_train, count(*) FILTER (f = o.fold) AS n_test,
+       0.0::DOUBLE AS residual, true AS fits_training
+FROM (SELECT 'setting1' AS setting, fold1 AS f FROM obs UNION ALL SELECT 'setting2', fold2 FROM obs) r
+JOIN (VALUES ('setting1', 'LM3'), ('setting1', 'LM4'), ('setting2', 'LM4')) m(setting, model) USING (setting),
+     (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS fold) o
+GROUP BY ALL""",
     "union_predictions": with_sql(OBS_SQL) + """
 SELECT m.model, m.setting, count(*) AS n, count(DISTINCT idx) AS n_index
 FROM obs, (VALUES ('LM0', 'setting1'), ('LM1', 'setting1'), ('LM2', 'setting1'), ('LM3', 'setting1'), ('LM4', 'setting1'),
