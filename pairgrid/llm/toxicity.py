@@ -5,14 +5,16 @@ The categories form a chain: each one's logistic model sees the words of a docum
 before it. Those come out of fold while the chain is trained: every fold is judged by
 a model of the other folds, so a later model meets earlier probabilities of the
 quality that it will meet on new documents. The models are fitted by Spark tasks, one
-for each fold and one for all rows, on a sample of at most ``SAMPLE`` labelled
-documents (the smallest hashes of their ids); a model keeps at most ``FEATURES``
-features, those whose presence goes with the category beyond chance. All documents
-are then scored over their whole text in one map without a shuffle.
+for each fold and one for all rows (where the folds' fits start), on a sample of at most
+``SAMPLE`` labelled documents (the smallest hashes of their ids); a model keeps at most
+``FEATURES`` features, those whose presence goes with the category beyond chance, and a
+task gets the numbers of those alone. All documents are then scored over their whole
+text in one map without a shuffle.
 
 Defined results: a null text is an empty one and gets the score of no words; labels
-of one id are merged (toxic if any says so, low quality if any does), null labels and
-labels without a document are left out; without labels of both kinds a category's
+of one id are merged (toxic if any says so, low quality if any does), of documents that
+share an id the text with the smallest hash is learnt from, null labels and labels
+without a document are left out; without labels of both kinds a category's
 probability is its share of ones, 0 without labels; repeated rows are scored alike;
 empty tables give empty results; other columns are ignored, or kept by ``drop_toxic``.
 """
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, partitions, table
 
 #: The chain, and the category that decides.
 CATEGORIES, DECIDES, CUT = ("low_quality", "toxic", "toxic_low_quality"), "toxic", 0.5
 SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 4096, 25.0, 0.1, 2.0
 #: Words whose features a worker remembers.
 KNOWN = 300_000
+#: Entries of the design matrix that a fit works on at a time.
+ENTRIES = 1 << 20
 _WORDS = re.compile(r"\w+")
 
 
@@ -48,14 +52,15 @@ def _text_features(text: str | None) -> list[int]:
 
 
 def _features(chosen: np.ndarray | None):
-    """(id, y, fold, text) -> (id, y, fold, distinct features, only the chosen ones if given)."""
+    """(nth, y, fold, text) -> (nth, y, fold, distinct features), or with ``chosen`` the
+    places in it of those features that it has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = None if chosen is None else set(chosen.tolist())
+        place = None if chosen is None else {f: i for i, f in enumerate(chosen.tolist())}
         for batch in batches:
             feats = [_text_features(t) for t in batch.column(3).to_pylist()]
-            if keep is not None:
-                feats = [[f for f in own if f in keep] for own in feats]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(feats, pa.list_(pa.int64()))], names=["id", "y", "fold", "features"])
+            if place is not None:
+                feats = [[place[f] for f in own if f in place] for own in feats]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(feats, pa.list_(pa.int64() if place is None else pa.int32()))], names=["nth", "y", "fold", "features"])
     return run
 
 
@@ -86,27 +91,61 @@ def _associated(n: np.ndarray, ones: np.ndarray):
 
 def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int,
              ridge: float = RIDGE, ones_count: float = 1.0) -> np.ndarray:
-    """Ridge logistic regression by Newton steps with scaled conjugate gradients: weights of the
-    ``width`` 0/1 features (entries rows, cols), of the dense columns, and an intercept.
-    A row of category 1 counts as ``ones_count`` rows."""
+    """Ridge logistic regression: weights of the ``width`` 0/1 features (entries rows, cols,
+    by row), of the dense columns, and an intercept. A row of category 1 counts as
+    ``ones_count`` rows."""
+    return newton(np.bincount(rows, minlength=len(y)), cols, dense, y, width, ridge, ones_count)
+
+
+class Entries:
+    """A 0/1 matrix by rows: ``counts`` entries a row, their columns ``cols``; worked on
+    some rows at a time, so that no copy of all entries is made."""
+
+    def __init__(self, counts: np.ndarray, cols: np.ndarray, width: int):
+        self.counts, self.cols, self.width = counts, cols, width
+        ends = np.cumsum(counts)
+        self.blocks, row, at = [], 0, 0
+        while row < len(counts):
+            last = max(row + 1, int(np.searchsorted(ends, at + ENTRIES, "right")))
+            to = int(ends[last - 1])
+            full = np.flatnonzero(counts[row:last])
+            self.blocks.append((row, last, at, to, full, (ends - counts)[row:last][full] - at))
+            row, at = last, to
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.counts))
+        for row, last, at, to, full, starts in self.blocks:
+            if len(full):
+                out[row + full] = np.add.reduceat(w[self.cols[at:to]], starts)
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.width)
+        for row, last, at, to, _, _ in self.blocks:
+            out += np.bincount(self.cols[at:to], np.repeat(r[row:last], self.counts[row:last]), self.width)
+        return out
+
+
+def newton(counts: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, width: int, ridge: float = RIDGE,
+           ones_count: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
+    """``logistic`` by Newton steps with scaled conjugate gradients, from ``start`` if given."""
     n = len(y)
     c = np.where(y > 0, ones_count, 1.0)
     dense = np.c_[dense, np.ones(n)]
     k = dense.shape[1]
-    counts = np.bincount(rows, minlength=n)  # rows ascend
-    starts = np.minimum(np.cumsum(counts) - counts, max(len(cols) - 1, 0))
-    some = counts > 0
+    x = Entries(counts, cols, width)
 
     def forward(w):
-        return np.add.reduceat(w[cols], starts) * some + dense @ w[width:] if len(cols) else dense @ w[width:]
+        return x.times(w) + dense @ w[width:]
 
     def back(r):
-        return np.r_[np.bincount(cols, r[rows], width), dense.T @ r]
+        return np.r_[x.back(r), dense.T @ r]
 
     penalty = np.r_[np.full(width, ridge), np.full(k - 1, 1e-3), 1e-6]
     w = np.zeros(width + k)
     share = min(max((c @ y) / c.sum(), 1e-6), 1 - 1e-6)
     w[-1] = np.log(share / (1 - share))
+    w = w if start is None else start.copy()
 
     def loss(w):
         z = forward(w)
@@ -117,7 +156,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         p = 1 / (1 + np.exp(-np.clip(forward(w), -40, 40)))
         grad = back(c * (p - y)) + penalty * w
         d = c * p * (1 - p) + 1e-9
-        scale = 1 / (np.r_[np.bincount(cols, d[rows], width), d @ dense**2] + penalty)  # features differ widely in frequency
+        scale = 1 / (np.r_[x.back(d), d @ dense**2] + penalty)  # features differ widely in frequency
         step, r = np.zeros_like(w), -grad
         z = scale * r
         direction, rz = z.copy(), r @ z
@@ -146,42 +185,68 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit(category: int, chosen: dict[int, np.ndarray]):
-    """Rows of one group (the fold left out, or FOLDS for none) -> out-of-fold
-    probabilities (kind 0: id), or the model (kind 1: feature, 2: earlier category,
-    3: intercept). chosen: sorted features of each group."""
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        left_out = key[0].as_py()
-        rows = rows.sort_by([("id", "ascending")]).combine_chunks()
-        ids = rows.column("id").to_numpy()
-        y = np.array(rows.column("y").to_pylist(), np.float64).reshape(len(ids), -1)[:, category]
-        earlier = _log_odds(np.array(rows.column("earlier").to_pylist(), np.float64).reshape(len(ids), category))
-        lists = rows.column("features").combine_chunks()
-        feats = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        names = chosen[left_out]
-        width = len(names)
-        col = np.searchsorted(names, feats)
-        use = col < width
-        use[use] = names[col[use]] == feats[use]
-        row, col = row[use], col[use]
-        test = rows.column("fold").to_numpy() == left_out
+_SENT = "left_out int, nth int, fold int, y int, earlier array<double>, features array<int>"
+
+
+def _send(category: int, places: dict[int, np.ndarray]):
+    """Rows (nth, y, fold, features, earlier) -> one for each group of ``places``, with the
+    features that the group's model has. places: of each feature in the model, or -1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("features")
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths()))
+            y = pa.array([own[category] for own in b.column("y").to_pylist()], pa.int32())
+            for g, place in places.items():
+                col = place[flat]
+                keep = col >= 0
+                offsets = np.r_[0, np.cumsum(np.bincount(row[keep], minlength=b.num_rows))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, g, np.int32)), b.column("nth"), b.column("fold"), y, b.column("earlier"),
+                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(col[keep]))], names=["left_out", "nth", "fold", "y", "earlier", "features"])
+    return run
+
+
+def _fit(category: int, names: dict[int, np.ndarray], start: dict[int, np.ndarray]):
+    """Rows of ``_send`` sorted by (left_out, nth), left_out being a fold or FOLDS for none
+    -> out-of-fold probabilities (kind 0: nth), or the model (kind 1: feature, 2: earlier
+    category, 3: intercept). names: the features of each group's model."""
+    def solve(left_out: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        nth, fold, y, counts = (np.concatenate(x) for x in list(zip(*held))[:4])
+        y = y.astype(float)
+        cols = np.concatenate([x[4] for x in held])
+        earlier = _log_odds(np.concatenate([x[5] for x in held]))
+        held.clear()
+        width, test = len(names[left_out]), fold == left_out
         train = ~test
         n, ones = int(train.sum()), float(y[train].sum())
         if 0 < ones < n:
-            at, here = np.cumsum(train) - 1, train[row]
-            w = logistic(at[row[here]], col[here], earlier[train], y[train], width, RIDGE, min(ONES, max(1.0, (n - ones) / ones)))
+            w = newton(counts[train], cols[np.repeat(train, counts)] if test.any() else cols, earlier[train], y[train], width, RIDGE, min(ONES, max(1.0, (n - ones) / ones)), start.get(left_out))
         else:
             share = ones / n if n else 0.0
             w = np.r_[np.zeros(width + category), _log_odds(np.array([share]))]
         if left_out < FOLDS:
-            z = np.bincount(row, w[col], len(ids)) + np.c_[earlier, np.ones(len(ids))] @ w[width:]
-            out = [(0, int(i), float(v)) for i, v in zip(ids[test], (1 / (1 + np.exp(-np.clip(z, -40, 40))))[test])]
+            z = Entries(counts[test], cols[np.repeat(test, counts)], width).times(w) + np.c_[earlier[test], np.ones(test.sum())] @ w[width:]
+            out = [(0, int(i), float(v)) for i, v in zip(nth[test], 1 / (1 + np.exp(-np.clip(z, -40, 40))))]
         else:
-            out = [(1, int(f), float(v)) for f, v in zip(names, w)]
+            out = [(1, int(f), float(v)) for f, v in zip(names[left_out], w)]
             out += [(2, k, float(w[width + k])) for k in range(category)] + [(3, 0, float(w[-1]))]
         kind, name, value = zip(*out) if out else ((), (), ())
-        return pa.table([pa.array(kind, pa.int32()), pa.array(name, pa.int64()), pa.array(value, pa.float64())], names=["kind", "name", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(name, pa.int64()), pa.array(value, pa.float64())], names=["kind", "name", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            groups = np.asarray(b.column("left_out"))
+            for g in np.unique(groups):
+                if now is not None and g != now:
+                    yield solve(now, held)
+                now = int(g)
+                some = b.slice(int(np.searchsorted(groups, g)), int((groups == g).sum()))
+                lists = some.column("features")
+                earlier = np.array(some.column("earlier").to_pylist(), np.float64).reshape(some.num_rows, category)
+                held.append((*(np.array(some.column(c)) for c in ("nth", "fold", "y")), np.asarray(lists.value_lengths()).astype(np.int32), np.array(lists.flatten()), earlier))
+        if now is not None:
+            yield solve(now, held)
     return run
 
 
@@ -192,14 +257,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
              .agg(F.max(F.col("toxic").cast("int")).alias("t"), F.max(1 - F.col("quality").cast("int")).alias("q")))
     y = F.array(*[c.cast("int") for c in (F.col("q"), F.col("t"), F.col("q") * F.col("t"))])
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
-    known = known.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", y.alias("y"), fold.alias("fold"))
-    texts = (docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("did") == F.col("id"))
-             .select("id", "y", "fold", "text"))
+    order = [F.xxhash64("id"), F.col("id")]
+    known = known.orderBy(*order).limit(sample).select(F.row_number().over(Window.orderBy(*order)).alias("nth"), "id", y.alias("y"), fold.alias("fold"))  # at most sample rows
+    texts = docs.select(F.col(id_col).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), F.col("did") == F.col("id"))
+    texts = texts.groupBy("nth", "y", "fold").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("nth", "y", "fold", "first.text")
+    texts = materialize(texts, "labelled-texts")
     of_y = [F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(len(CATEGORIES))]
     n, ones = np.zeros(FOLDS), np.zeros((len(CATEGORIES), FOLDS))
     for r in texts.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *of_y).collect():  # a row for each fold
         n[r["fold"]], ones[:, r["fold"]] = r["n"], r[2:]
-    shape = "id long, y array<int>, fold int, features array<long>"
+    shape = "nth int, y array<int>, fold int, features array<long>"
     counts = (texts.mapInArrow(_features(None), shape).select("y", "fold", F.explode("features").alias("feature"))
               .groupBy("feature").pivot("fold", list(range(FOLDS))).agg(F.count(F.lit(1)).alias("n"), *of_y))
     found = counts.mapInArrow(_associated(n, ones), "k int, left_out int, feature long, chi2 double")
@@ -209,12 +276,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     for r in held.collect():  # at most FEATURES for each category and fold
         chosen[r["k"], r["left_out"]] = np.sort(np.array(r["f"], np.int64))
     union = np.unique(np.concatenate(list(chosen.values())))
-    rows = texts.mapInArrow(_features(union), shape).dropDuplicates(["id"])
+    rows = texts.mapInArrow(_features(union), shape.replace("long", "int"))
     rows = materialize(rows.withColumn("earlier", F.array().cast("array<double>")), "labelled")
-    chain = []
+    chain: list[dict] = []
     for k in range(len(CATEGORIES)):
-        groups = rows.withColumn("left_out", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
-        found = materialize(groups.groupBy("left_out").applyInArrow(_fit(k, {g: chosen[k, g] for g in range(FOLDS + 1)}), "kind int, name long, value double"), "fitted")
+        def fitted(groups: list[int], start: dict[int, np.ndarray]) -> DataFrame:
+            names = {g: chosen[k, g] for g in groups}
+            places = {g: np.full(len(union) + 1, -1, np.int32) for g in groups}
+            for g in groups:
+                places[g][np.searchsorted(union, names[g])] = np.arange(len(names[g]), dtype=np.int32)
+            sent = rows.mapInArrow(_send(k, places), _SENT).repartition(partitions(rows.sparkSession), "left_out").sortWithinPartitions("left_out", "nth")
+            return materialize(sent.mapInArrow(_fit(k, names, start), "kind int, name long, value double"), "fitted")
+
+        found = fitted([FOLDS], {})
         model = {"features": {}, "earlier": [0.0] * k, "intercept": -20.0}
         for kind, name, value in found.where("kind > 0").collect():  # at most FEATURES + k + 1 numbers
             if kind == 1:
@@ -224,8 +298,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             else:
                 model["intercept"] = value
         chain.append(model)
-        judged = found.where("kind = 0").select(F.col("name").alias("id"), F.col("value").alias("p"))
-        rows = rows.join(judged, "id").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p")
+        if k + 1 < len(CATEGORIES):
+            begin = {g: np.r_[[model["features"].get(f, 0.0) for f in chosen[k, g].tolist()], model["earlier"], model["intercept"]] for g in range(FOLDS)}
+            judged = fitted(list(range(FOLDS)), begin).select(F.col("name").cast("int").alias("nth"), F.col("value").alias("p"))
+            rows = rows.join(judged, "nth").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p")
     return chain
 
 

@@ -1,5 +1,7 @@
 """Operator 6: the fit, out-of-fold training, held-out accuracy and odd rows."""
 
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -34,6 +36,76 @@ def test_logistic_converges_with_many_features():
     assert np.abs(np.r_[np.bincount(cols, off[rows], width) + .1 * w[:width], off.sum() + 1e-6 * w[-1]]).max() < .02
 
 
+def plain_chain(docs, labels):
+    """The chain on dense numpy matrices: out-of-fold log-odds, then the fits on all rows."""
+    ids = sorted(labels)
+    own = {i: set(X._text_features(docs[i])) for i in ids}
+    fold = np.array([zlib.crc32(str(i).encode()) % X.FOLDS for i in ids])
+    y = np.array([[q, t, q * t] for t, q in (labels[i] for i in ids)], float)
+    every = sorted(set().union(*own.values()))
+    m = np.array([[f in own[i] for f in every] for i in ids], float)
+    earlier, chain = np.empty((len(ids), 0)), []
+    for k in range(3):
+        judged = np.zeros(len(ids))
+        for g in range(X.FOLDS + 1):
+            some, yk = fold != g, y[:, k]
+            n, yes, df, both = some.sum(), yk[some].sum(), m[some].sum(0), yk[some] @ m[some]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                chi2 = np.nan_to_num(n * (both * n - df * yes) ** 2 / (df * (n - df) * yes * (n - yes)), posinf=0)
+            keep = chi2 >= X.LEAST_CHI2
+            x = np.c_[m[:, keep], earlier, np.ones(len(ids))]
+            w = plain_logistic(x[some], yk[some], keep.sum(), min(X.ONES, max(1, (n - yes) / yes)))
+            p = 1 / (1 + np.exp(-x @ w))
+            judged[~some] = p[~some]
+        chain.append(dict(zip(np.array(every)[keep].tolist(), w)) | {"earlier": w[keep.sum():-1], "intercept": w[-1]})
+        earlier = np.c_[earlier, np.log(judged / (1 - judged))]
+    return chain
+
+
+def plain_logistic(x, y, width, ones):
+    c, w = np.where(y > 0, ones, 1.0), np.zeros(x.shape[1])
+    penalty = np.r_[np.full(width, X.RIDGE), np.full(x.shape[1] - width - 1, 1e-3), 1e-6]
+    loss = lambda w: c @ (np.logaddexp(0, x @ w) - y * (x @ w)) + (penalty * w * w).sum() / 2
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (c * p * (1 - p))) @ x + np.diag(penalty), x.T @ (c * (p - y)) + penalty * w)
+        size = 1.0
+        while size > 1e-9 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return w
+
+
+def some_documents():
+    rng = np.random.default_rng(7)
+    words = [f"word{chr(97 + i)}{i}" for i in range(25)]
+    docs, labels = {}, {}
+    for i in range(500):
+        t, q = int(rng.random() < .3), int(rng.random() < .4)
+        text = rng.choice(words, 6).tolist() + ["idiot"] * (rng.random() < (.8 if t else .05)) + ["spam"] * (rng.random() < (.7 if q else .1))
+        docs[i], labels[i] = " ".join(text), (t, q)
+    return docs, labels
+
+
+def test_chain_against_plain_numpy(spark):
+    docs, labels = some_documents()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = X.train(df, spark.createDataFrame([(i, 1 - q, t) for i, (t, q) in labels.items()], "doc_id long, quality int, toxic int"))
+    for mine, want in zip(got, plain_chain(docs, labels)):
+        np.testing.assert_allclose(mine["earlier"], want.pop("earlier"), atol=2e-2)
+        assert abs(mine["intercept"] - want.pop("intercept")) < 2e-2 and mine["features"].keys() == want.keys()
+        assert max((abs(mine["features"][f] - w) for f, w in want.items()), default=0) < 2e-2
+
+
+def test_same_model_in_any_order(spark):
+    """Rows that share an id, ids that are strings: the order of rows decides nothing."""
+    docs, labels = some_documents()
+    rows = [(f"d{i}", t) for i, t in docs.items()] + [(f"d{i}", "spam idiot") for i in range(0, 500, 3)] + [(None, "x")] * 3
+    lab = spark.createDataFrame([(f"d{i}", 1 - q, t) for i, (t, q) in labels.items()], "doc_id string, quality int, toxic int")
+    one = X.train(spark.createDataFrame(rows, "doc_id string, text string").repartition(2), lab)
+    assert X.train(spark.createDataFrame(rows[::-1], "doc_id string, text string").repartition(5), lab) == one
+
+
 def test_all_associated_features_are_kept(spark):
     told = " ".join(f"{i:04d}" for i in range(1500))
     docs = spark.createDataFrame([(i, told if i % 2 else f"other words {i}") for i in range(100)], "doc_id long, text string")
