@@ -14,7 +14,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,17 +138,21 @@ def interaction_terms(rows: DataFrame, row: str, code: str, entity: str, fp_long
     feature = offset + code · n_bits + bit, value = the bit's value. Only
     non-zero bits exist in the long form, so the output has as many entries
     per row as the row's entity has set bits (no n_species × n_bits block).
+    Features are BIGINT: the width passes 2³¹ at two million species.
     """
     j = rows.select(row, code, entity).join(fp_long.select(entity, bit, val), entity)
-    return j.select(row, (F.lit(offset) + F.col(code) * n_bits + F.col(bit)).cast("int").alias("feature"),
+    return j.select(row, (F.lit(offset) + F.col(code).cast("long") * n_bits + F.col(bit)).cast("long").alias("feature"),
                     F.col(val).cast("double").alias("val"))
 
 
 def to_long_sparse(df: DataFrame, row: str, vec: str) -> DataFrame:
-    """Vector column → (row, feature, val) for the non-zero entries (F8)."""
-    a = df.select(row, vector_to_array(F.col(vec)).alias("_a"))
-    return (a.select(row, F.posexplode("_a").alias("feature", "val"))
-             .filter(F.col("val") != 0).withColumn("feature", F.col("feature").cast("int")))
+    """Vector column → (row, feature, val) for the non-zero entries (F8). A sparse
+    vector is never widened: its stored indices and values are exploded."""
+    entry = lambda i, v: F.struct(i.cast("int").alias("feature"), v.alias("val"))
+    stored = F.when(F.col("_u.type") == 0, F.zip_with("_u.indices", "_u.values", entry)) \
+              .otherwise(F.transform("_u.values", lambda v, i: entry(i, v)))
+    return (df.select(row, F.unwrap_udt(vec).alias("_u")).select(row, F.explode(stored).alias("_e"))
+              .select(row, "_e.feature", "_e.val").filter(F.col("val") != 0))
 
 
 @F.udf(returnType=VectorUDT())
