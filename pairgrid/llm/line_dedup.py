@@ -2,25 +2,29 @@
 
 The hashes of a document's non-blank lines are winnowed: of every ``window``
 consecutive lines the smallest hash (the first one on ties) is a fingerprint, so two
-runs of at least ``window`` equal lines share one. Positions are joined by
-fingerprint; where one occurs more than once, the match is extended to both sides
-over the windows that the fingerprint stands for. A line goes when it lies in a run
-of ``window`` lines that also starts earlier (smaller id, or earlier in the same
-document); runs are judged on the input, so the first copy always stays whole.
+runs of at least ``window`` equal lines share one. Fewer lines count by their words:
+for every size below ``window`` the runs of that size with more than ``words`` words
+in all are winnowed in the same way, so equal ones share a fingerprint of that size.
+Positions are joined by fingerprint; where one occurs more than once, the match is
+extended to both sides over the runs that the fingerprint stands for. A line goes when
+it lies in a run (of ``window`` lines, or of fewer with more than ``words`` words) that
+also starts earlier (smaller id, or earlier in the same document); runs are judged on
+the input, so the first copy always stays whole.
 
 Rows of one fingerprint (or one window) are never gathered: they are aggregated by a
 salt of the document's id and text to a count or a least place, only that one small
 row per salt meets the others, and it is joined back to the positions by salt.
 
 Defined results: lines are compared without blanks around them, blank lines are
-neither compared nor removed; a null text stays null and has no lines; documents
-of fewer lines than the window lose none; documents that share an id are ordered by
+neither compared nor removed, words are what blanks separate; a null text stays null
+and has no lines; short documents have the runs that they have room for; documents that share an id are ordered by
 a hash of their text, and equal rows are one document (all keep or lose the same
 lines); empty tables give empty results; other columns pass through unchanged.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-WINDOW, SALTS = 3, 64
+WINDOW, WORDS, SALTS = 3, 50, 64
 BLANKS = " \t\r\x0b\x0c"
+WORD = re.compile(f"[^{BLANKS}]+")
 
 
 def _units(text: str | None) -> tuple[list[str], list[int]]:
@@ -57,25 +62,36 @@ def winnow(hashes: list[int], window: int) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def _fingerprints(window: int):
-    kind = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+def _long_runs(sizes: list[int], w: int, words: int) -> set[int]:
+    """Starts of the runs of ``w`` lines with more than ``words`` words; ``sizes``: words by line."""
+    return {j for j in range(len(sizes) - w + 1) if sum(sizes[j:j + w]) > words}
+
+
+def _fingerprints(window: int, words: int):
+    kind = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, prints, ats, nears = [], [], [], []
+            take, prints, lengths, ats, nears, offsets = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 lines, units = _units(text)
-                if len(units) < window:
-                    continue
-                signed = np.array([xxhash.xxh3_64_intdigest(lines[u].strip(BLANKS).encode()) for u in units], dtype=np.uint64).astype(np.int64).tolist()
-                for best, first, last in winnow(signed, window):
-                    take.append(i)
-                    prints.append(signed[best])
-                    ats.append(first)
-                    nears.append(signed[first:last + window])
+                own = [lines[u].strip(BLANKS) for u in units]
+                signed = np.array([xxhash.xxh3_64_intdigest(line.encode()) for line in own], dtype=np.uint64).astype(np.int64).tolist()
+                sizes = [len(WORD.findall(line)) for line in own]
+                for w in range(1, window + 1):
+                    some = None if w == window else _long_runs(sizes, w, words)
+                    for best, first, last in winnow(signed, w) if some is None or some else ():
+                        at = [j - first for j in range(first, last + 1) if some is None or j in some]
+                        if at:
+                            take.append(i)
+                            prints.append(signed[best])
+                            lengths.append(w)
+                            ats.append(first)
+                            nears.append(signed[first:last + w])
+                            offsets.append(at)
             rows = pa.array(take, pa.int64())
-            cols = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x, t) for x, t in zip((prints, ats, nears), kind))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "print", "at", "near"])
+            cols = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x, t) for x, t in zip((prints, lengths, ats, nears, offsets), kind))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "print", "w", "at", "near", "ks"])
     return run
 
 
@@ -83,23 +99,25 @@ def _key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key (hash of the text), starts: unit numbers at which a window begins that
-    also begins earlier; only documents that have some."""
+def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id, key (hash of the text), starts: the runs that also begin earlier, each as
+    (number of its first unit) * (window + 1) + its number of units; only documents
+    that have some."""
     rows = df.select(F.col(id_col).alias("id"), _key(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    prints = rows.mapInArrow(_fingerprints(window), f"id {kind}, key long, print long, at int, near array<long>")
+    prints = rows.mapInArrow(_fingerprints(window, words), f"id {kind}, key long, print long, w int, at int, near array<long>, ks array<int>")
     # exact copies differ in their ids alone, so the salt is of both
     prints = prints.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int"))
-    # join positions: fingerprints that occur more than once
-    counts = prints.groupBy("print", "salt").agg(F.count(F.lit(1)).alias("n"))
-    often = (counts.withColumn("n", F.sum("n").over(Window.partitionBy("print"))).where("n > 1")
-             .select(F.col("print").alias("_print"), F.col("salt").alias("_salt")))
-    shared = materialize(prints.join(often, (F.col("print") == F.col("_print")) & (F.col("salt") == F.col("_salt")), "left_semi"), "line-prints")
-    # extend: the windows on both sides that hold the fingerprint
-    runs = (shared.select("id", "key", "salt", "at", "near", F.explode(F.sequence(F.lit(0), F.size("near") - window)).alias("k"))
-            .select(F.slice("near", F.col("k") + 1, window).alias("run"), "salt",
-                    F.struct("id", "key", (F.col("at") + F.col("k")).alias("start")).alias("place")))
+    # join positions: fingerprints of one size that occur more than once
+    counts = prints.groupBy("print", "w", "salt").agg(F.count(F.lit(1)).alias("n"))
+    often = (counts.withColumn("n", F.sum("n").over(Window.partitionBy("print", "w"))).where("n > 1")
+             .select(F.col("print").alias("_print"), F.col("w").alias("_w"), F.col("salt").alias("_salt")))
+    same = (F.col("print") == F.col("_print")) & (F.col("w") == F.col("_w")) & (F.col("salt") == F.col("_salt"))
+    shared = materialize(prints.join(often, same, "left_semi"), "line-prints")
+    # extend: the runs on both sides that hold the fingerprint
+    runs = (shared.select("id", "key", "salt", "w", "at", "near", F.explode("ks").alias("k"))
+            .select(F.slice("near", F.col("k") + 1, F.col("w")).alias("run"), "salt",
+                    F.struct("id", "key", ((F.col("at") + F.col("k")).cast("long") * (window + 1) + F.col("w")).alias("start")).alias("place")))
     least = runs.groupBy("run", "salt").agg(F.min("place").alias("least"))
     least = least.select(F.col("run").alias("_run"), F.col("salt").alias("_salt"), F.min("least").over(Window.partitionBy("run")).alias("first"))
     later = (runs.join(least, (F.col("run") == F.col("_run")) & (F.col("salt") == F.col("_salt")))
@@ -108,14 +126,14 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 
 def _cut(window: int, text_at: int):
-    """Rows with the window starts as their last column -> the text without those runs, and counts in its place."""
+    """Rows with the runs' starts and sizes as their last column -> the text without those runs, and counts in its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *cols, starts = batch.columns
             kept, counts = [], []
             for text, own in zip(cols[text_at].to_pylist(), starts.to_pylist()):
                 lines, units = _units(text)
-                gone = sorted({j + k for j in own or () for k in range(window)})
+                gone = sorted({j // (window + 1) + k for j in own or () for k in range(j % (window + 1))})
                 runs = sum(a + 1 != b for a, b in zip([-2, *gone], gone))
                 if gone:
                     places = {units[u] for u in gone}
@@ -128,13 +146,13 @@ def _cut(window: int, text_at: int):
     return run
 
 
-def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The columns of ``df`` with the text without its repeated runs, and after them
     three counts: lines that are not blank, lines removed, runs removed. They are
     named ``n_lines``, ``n_removed`` and ``n_runs`` whatever ``df`` holds, so that a
     table with such columns has them twice; ``df.columns`` come first."""
     names, kinds = df.columns, [f.dataType.simpleString() for f in df.schema.fields]
-    later = repeated_windows(df, window, id_col, text_col).select("id", "key", "starts")
+    later = repeated_windows(df, window, id_col, text_col, words).select("id", "key", "starts")
     docs = df.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = names.index(id_col), names.index(text_col)
     key = _key(f"c{t}")
@@ -156,11 +174,15 @@ WITH line AS (
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 unit AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS u FROM line WHERE t <> ''),
+sized AS (SELECT *, len(regexp_extract_all(t, '[^ \\t\\r\\v\\f]+')) AS n FROM unit),
+near AS (SELECT doc_id, u, t, n, lead(t) OVER w AS t2, lead(n) OVER w AS n2, lead(t, 2) OVER w AS t3 FROM sized WINDOW w AS (PARTITION BY doc_id ORDER BY u)),
 win AS (
-  SELECT doc_id, u, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id, u) AS nth
-  FROM (SELECT doc_id, u, t, lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM unit WINDOW w AS (PARTITION BY doc_id ORDER BY u))
-  WHERE t3 IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([u, u + 1, u + 2]) AS u FROM win WHERE nth > 1),
+  SELECT doc_id, u, 3 AS k, row_number() OVER (PARTITION BY t, t2, t3 ORDER BY doc_id, u) AS nth FROM near WHERE t3 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, u, 2 AS k, row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, u) AS nth FROM near WHERE t2 IS NOT NULL AND n + n2 > 50
+  UNION ALL
+  SELECT doc_id, u, 1 AS k, row_number() OVER (PARTITION BY t ORDER BY doc_id, u) AS nth FROM near WHERE n > 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(u, u + k)) AS u FROM win WHERE nth > 1),
 cut AS (SELECT doc_id, i FROM gone JOIN unit USING (doc_id, u)),
 kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS s FROM line ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id),
 runs AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN before IS NULL OR before <> u - 1 THEN 1 ELSE 0 END) AS r

@@ -1,6 +1,7 @@
 """Operator 2 against a plain count of line windows."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,17 +10,20 @@ from pyspark.sql import functions as F
 from pairgrid.llm import line_dedup as L
 
 
-def brute(docs, w=3):
+def brute(docs, w=3, words=50):
     """docs: distinct (id, text) in order of id."""
     seen, out = set(), []
     for d, text in docs:
         lines = text.split("\n") if text else []
         units = [i for i, x in enumerate(lines) if x.strip(L.BLANKS)]
         gone = set()
-        for j in range(len(units) - w + 1):
-            run = tuple(lines[u].strip(L.BLANKS) for u in units[j:j + w])
-            gone |= {units[j + k] for k in range(w)} if run in seen else set()
-            seen.add(run)
+        for j in range(len(units)):
+            for size in range(1, min(w, len(units) - j) + 1):
+                run = tuple(lines[u].strip(L.BLANKS) for u in units[j:j + size])
+                if size < w and sum(len([x for x in re.split("[ \\t\\r\\x0b\\x0c]", line) if x]) for line in run) <= words:
+                    continue
+                gone |= {units[j + k] for k in range(size)} if run in seen else set()
+                seen.add(run)
         kept = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
         out.append((d, kept, len(units), len(gone)))
     return out
@@ -66,3 +70,24 @@ def test_hot_copies_are_spread_and_not_gathered(spark, monkeypatch):
     # exact copies of one fingerprint have many salts
     assert min(r["n"] for r in shared[0][0].where("id % 2 = 1").groupBy("print").agg(F.countDistinct("salt").alias("n")).collect()) > L.SALTS // 2
     assert sorted((r[0], r[1], r[2], r[3]) for r in L.dedup_lines(df).collect()) == brute(docs)
+
+
+def test_short_runs_of_many_words(spark):
+    """One or two lines repeat: they go by their words, whatever lines stand around them."""
+    rnd = random.Random(9)
+    line = lambda n: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(900)) for _ in range(n))
+    pool = [line(n) for n in (51, 50, 60, 120, 30, 21, 20, 26, 25, 1, 3)] + ["", " \t"]
+    docs = [(i, "\n".join(rnd.choices(pool, k=rnd.randrange(1, 4)) + ([f"own {i}"] if i % 3 else []))) for i in range(150)]
+    docs += [(300, pool[2]), (301, "x\t " + pool[0].replace(" ", "\xa0", 5)), (302, "new start\n" + pool[3] + "\nnew end"), (303, pool[0] + "\n" + pool[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = sorted((r[0], r[1], r[2], r[3]) for r in L.dedup_lines(df).collect())
+    assert got == brute(docs)
+    assert (300, "", 1, 1) in got and (302, "new start\nnew end", 3, 1) in got
+    few = sorted((r[0], r[1], r[2], r[3]) for r in L.dedup_lines(df, words=20).collect())
+    assert few == brute(docs, words=20) != got
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=20), st.integers(1, 3))
+def test_long_runs(sizes, w):
+    assert L._long_runs(sizes, w, 50) == {j for j in range(len(sizes)) if j + w <= len(sizes) and sum(sizes[j:j + w]) > 50}
