@@ -31,7 +31,7 @@ def q_stream_best(spark, sf_dir):
     src = K.scratch_path(spark, "arriving_grid")
     grid.repartition(N_FILES).write.mode("overwrite").parquet(src)
     sdf = spark.readStream.schema(grid.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    best = X.run_to_memory(X.stream_best(sdf, ["setting", "model", "fold"], "rmse", ["alpha"]), "stream_best")
+    best = X.run_to_best(sdf, K.scratch_path(spark, "best_stream"), "stream_best", ["setting", "model", "fold"], "rmse", ["alpha"], every=4)
     return best.select("setting", "model", "fold", "alpha", F.round("rmse", 6).alias("rmse"))
 
 
