@@ -132,15 +132,18 @@ def _lm4_long_with_label(spark, sf_dir):
     return c, g.join(c.rows.select("idx", "y"), "idx"), width
 
 
+def _lines_back(spark, path):
+    """The lines as they stand in the files. Those were written in order of idx, which is
+    dense from 0, so a line's place is its idx; a lost or doubled line shifts the rest."""
+    return R.numbered_lines(spark, path).select(F.col("row_id").alias("idx"), F.col("value").alias("line"))
+
+
 def q_write_libsvm(spark, sf_dir):
     _, g, _ = _lm4_long_with_label(spark, sf_dir)
     rows = g.select("idx", "y", F.col("e.feature").alias("fi"), F.col("e.val").alias("fv"))
     path = K.scratch_path(spark, "libsvm")
-    K.write_libsvm(rows, "y", "fi", "fv", path)
-    back = spark.read.text(path)
-    # lines carry no id; pair them with ids through a second, id-carrying projection
-    lines = rows.select("idx", K.libsvm_line(F.col("y"), F.col("fi"), F.col("fv")).alias("line"))
-    return lines.join(back.select(F.col("value").alias("line")).distinct(), "line", "left_semi")
+    K.write_libsvm(rows.repartitionByRange("idx"), "y", "fi", "fv", path, ["idx"])
+    return _lines_back(spark, path)
 
 
 def q_write_libffm(spark, sf_dir):
@@ -151,10 +154,8 @@ def q_write_libffm(spark, sf_dir):
     rows = g.select("idx", "y", F.col("e.feature").alias("fi"), F.col("e.val").alias("fv"),
                     F.transform("e", lambda x: F.size(F.filter(bounds, lambda b: b <= x["feature"]))).alias("ff"))
     path = K.scratch_path(spark, "libffm")
-    K.write_libffm(rows, "y", "ff", "fi", "fv", path)
-    back = spark.read.text(path)
-    lines = rows.select("idx", K.libffm_line(F.col("y"), F.col("ff"), F.col("fi"), F.col("fv")).alias("line"))
-    return lines.join(back.select(F.col("value").alias("line")).distinct(), "line", "left_semi")
+    K.write_libffm(rows.repartitionByRange("idx"), "y", "ff", "fi", "fv", path, ["idx"])
+    return _lines_back(spark, path)
 
 
 def q_scan_sparse_rows(spark, sf_dir):
