@@ -16,6 +16,7 @@ from pairgrid.functions.columns import cut_right_closed
 from pairgrid.operators import curate as CU
 from pairgrid.operators import features as FT
 from pairgrid.operators import report as G
+from pairgrid.operators.models import boosting as B
 from pairgrid.operators.models import closed_form as CF
 from pairgrid.operators.models import ffm as M
 from pairgrid.operators.models import learners as L
@@ -30,8 +31,6 @@ from pairgrid.session import ensure_checkpoint_dir
 
 FOLD_COL = {"setting1": "fold1", "setting2": "fold2"}
 INNER_COL = {"setting1": "inner1", "setting2": "inner2"}
-#: Inner fold that early stopping is judged on: whole groups, none of them in training.
-STOP_FOLD = 1
 
 
 def design_rows(spark, sf_dir, model: str, setting: str, coded: D.Coded | None = None, vectors: bool = True):
@@ -156,30 +155,78 @@ def q_fit_forest(spark, sf_dir):
     return fold_report(p, "RF", "setting1")
 
 
-def q_fit_boosted(spark, sf_dir):
-    """R6 with early stopping on one grouped inner fold of each training set."""
-    rows, _, _ = design_rows(spark, sf_dir, "LM4", "setting1")
-    rows = rows.withColumn("is_val", F.col("inner") == STOP_FOLD)
-    p = holdout(rows, lambda tr: L.fit_boosted(tr, nrounds=40, tree_depth=4, subsample=0.75,
-                                               validation="is_val"))
-    return fold_report(p, "XGB", "setting1")
+#: Boosting of the registered queries; the grid's other axes are parameters of ``B.Fit``.
+BOOST = {"depth": 4, "l2": 10.0, "gamma": 0.0, "subsample": 0.75}
+BOOST_ROUNDS, BOOST_PATIENCE = 20, 5
+#: Leaf penalty and start of the query that shows the first cut: far from the targets, the penalty leaves the first root whole.
+CUT_L2, CUT_START = 1.0, 4.5
+
+
+def boosted_blocks(spark, sf_dir):
+    """LM4's features of both settings in blocks, and the chem range that setting2 hides."""
+    c = D.coded_observations(spark, sf_dir)
+    chems, durations, bits = c.n_species, c.n_species + c.n_chem, c.n_species + c.n_chem + c.n_bins
+    fp = B.binned(c.fp.where("val != 0"), "bit", "val")
+    per_chem = fp.groupBy("chem").agg(F.sort_array(F.collect_list(F.struct((F.col("bit") + F.lit(bits)).cast("long").alias("feature"), "bin"))).alias("fp"))
+    one = lambda at: F.array(F.struct(at.cast("long").alias("feature"), F.lit(0).alias("bin")))
+    none = F.array().cast("array<struct<feature:bigint,bin:int>>")
+    cells = F.concat(one(F.col("sp_code")), one(F.col("ch_code") + F.lit(chems)),
+                     F.when(F.col("du_code").isNotNull(), one(F.col("du_code") + F.lit(durations))).otherwise(none), F.coalesce("fp", none))
+    rows = c.rows.join(per_chem, "chem", "left").withColumn("cells", cells)
+    ensure_checkpoint_dir(spark)
+    blocks = B.pack(rows.select("idx", "y", F.col("cells.feature").alias("features"), F.col("cells.bin").alias("bins"),
+                                *[f for pair in SM.SETTING_FOLDS.values() for f in pair]), SM.SETTING_FOLDS, B.tasks_for(c.rows))
+    return blocks, {"setting2": (chems, durations)}
+
+
+def boosted_grid(spark, sf_dir):
+    """Blocks, the grown inner and outer fits of both settings and all folds, and their curves."""
+    blocks, hidden = boosted_blocks(spark, sf_dir)
+    fits = [B.Fit(s, o, i, **BOOST) for s in SM.SETTING_FOLDS for o in range(1, K_FOLDS + 1) for i in range(K_FOLDS + 1)]
+    grown = B.Booster(blocks, fits, SM.SETTING_FOLDS, hidden).grow(BOOST_ROUNDS, BOOST_PATIENCE)
+    return blocks, grown, B.curve_table(spark, grown)
+
+
+def boosted_predictions(spark, sf_dir, held_only: bool = True) -> DataFrame:
+    """Rows predicted by the fit of the outer training set, cut at the round where the
+    mean curve over its inner folds is least; rows of the test fold, or all with ``held``."""
+    blocks, grown, curves = boosted_grid(spark, sf_dir)
+    keys = ["setting", "fold"]
+    best = {(r["setting"], r["fold"]): r["best_round"] for r in G.curve_argmin(G.curve_mean(curves, keys), keys).collect()}
+    outer = [k for k, f in enumerate(grown.fits) if not f.i]
+    trees = [grown.trees[k][:best[grown.fits[k].setting, grown.fits[k].o]] for k in outer]
+    return B.predict(blocks, SM.SETTING_FOLDS, [grown.fits[k] for k in outer], trees, held_only).withColumn("model", F.lit("XGB"))
 
 
 def q_boosted_early_stop(spark, sf_dir):
-    """Validation curve of boosting per outer fold, then G13/G14 on it."""
-    rows, _, _ = design_rows(spark, sf_dir, "LM4", "setting1")
-    curves = []
-    for o in range(1, K_FOLDS + 1):
-        tr = rows.filter(F.col("fold") != o)
-        val = F.col("inner") == STOP_FOLD
-        model = L.fit_boosted(tr.filter(~val), nrounds=15, tree_depth=3, subsample=0.75)
-        rmse = L.boosted_curve(model, tr.filter(val))
-        curves += [(o, r + 1, float(v)) for r, v in enumerate(rmse)]
-    cdf = spark.createDataFrame(curves, "o int, round int, rmse double")
-    stop = G.early_stop_round(cdf, ["o"], 3)
-    best = G.curve_argmin(cdf, ["o"])
-    return stop.select("o", "stop_round").join(best, "o").select(
-        "o", "stop_round", "best_round", F.round("best_score", 6).alias("best_score"))
+    """G12-G14 on the validation curves of boosting: every inner fold's stop, the mean curve's best round."""
+    _, _, curves = boosted_grid(spark, sf_dir)
+    keys = ["setting", "fold"]
+    stops = G.early_stop_round(curves, [*keys, "inner"], BOOST_PATIENCE).groupBy(*keys).agg(F.max("stop_round").alias("stop_round"))
+    best = G.curve_argmin(G.curve_mean(curves, keys), keys)
+    return stops.join(best, keys).select(*keys, "stop_round", "best_round", F.round("best_score", 6).alias("best_score"))
+
+
+def q_fit_boosted(spark, sf_dir):
+    """R6 in both settings, as what any right nested run fulfils: every row predicted once by the
+    fold that holds it, and a training error no worse than that of the training mean."""
+    p = boosted_predictions(spark, sf_dir, held_only=False)
+    held, train = F.col("held"), lambda c: F.sum(F.when(~F.col("held"), c).otherwise(0.0))
+    sums = p.groupBy("model", "setting", "fold").agg(
+        F.sum(held.cast("long")).alias("n"), F.countDistinct(F.when(held, F.col("index"))).alias("n_index"), F.sum((~held).cast("long")).alias("n_train"),
+        train(F.col("y")).alias("sy"), train(F.col("y") * F.col("y")).alias("syy"), train((F.col("y") - F.col("y_pred")) ** 2).alias("sse"))
+    null = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n_train")
+    return sums.select("model", "setting", "fold", "n", "n_index", "n_train", (F.col("sse") <= null + 1e-6).alias("fits_training"))
+
+
+def q_boosted_first_cut(spark, sf_dir):
+    """The first tree's root over whole outer training sets: rows, best gain and the gradient sums of its sides."""
+    blocks, hidden = boosted_blocks(spark, sf_dir)
+    fits = [B.Fit(s, o, 0, depth=1, l2=CUT_L2, start=CUT_START) for s in SM.SETTING_FOLDS for o in range(1, K_FOLDS + 1)]
+    grown = B.Booster(blocks, fits, SM.SETTING_FOLDS, hidden).grow(1, 1)
+    rows = [(f.setting, f.o, float(t[0].gain[0]), float(max(t[0].value[1:])), float(min(t[0].value[1:]))) for f, t in zip(grown.fits, grown.trees) if t[0].feature[0] >= 0]
+    out = spark.createDataFrame(rows, "setting string, fold int, gain double, high double, low double")
+    return out.select("setting", "fold", *[F.round(c, 6).alias(c) for c in ("gain", "high", "low")])
 
 
 def q_fit_fm(spark, sf_dir):
@@ -278,6 +325,7 @@ QUERIES = {
     "fit_forest": q_fit_forest,
     "fit_boosted": q_fit_boosted,
     "boosted_early_stop": q_boosted_early_stop,
+    "boosted_first_cut": q_boosted_first_cut,
     "fit_fm": q_fit_fm,
     "score_ffm": q_score_ffm,
     "fit_ffm": q_fit_ffm,
@@ -319,6 +367,30 @@ FROM (SELECT 'setting1' AS setting, fold1 AS f FROM obs UNION ALL SELECT 'settin
 JOIN (VALUES ('setting1', 'LM3'), ('setting1', 'LM4'), ('setting2', 'LM4')) m(setting, model) USING (setting),
      (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS fold) o
 GROUP BY ALL""",
+    "fit_boosted": with_sql(OBS_SQL) + """
+SELECT 'XGB' AS model, setting, fold, count(*) FILTER (f = fold) AS n, count(DISTINCT idx) FILTER (f = fold) AS n_index,
+       count(*) FILTER (f <> fold) AS n_train, true AS fits_training
+FROM (SELECT 'setting1' AS setting, fold1 AS f, idx FROM obs UNION ALL SELECT 'setting2', fold2, idx FROM obs),
+     (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS fold) GROUP BY ALL""",
+    # every distinct value is a cut, absent entries on either side
+    "boosted_first_cut": with_sql(OBS_SQL, EDGES_SQL, CHEM_TEXT_SQL, FP_SQL, CODES_SQL, DESIGN4_SQL) + f""",
+r AS (SELECT 'setting1' AS setting, fold1 AS f, idx, {CUT_START} - y AS g FROM obs
+      UNION ALL SELECT 'setting2', fold2, idx, {CUT_START} - y FROM obs),
+cell AS (SELECT setting, f, feature, val, sum(g) AS g, count(*) AS h
+         FROM r JOIN design d USING (idx), sizes
+         WHERE d.val <> 0 AND (setting = 'setting1' OR feature < ns OR feature >= ns + nc) GROUP BY ALL),
+fold AS (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS fold),
+total AS (SELECT setting, fold, sum(g) AS gt, count(*) AS ht FROM r, fold WHERE f <> fold GROUP BY ALL),
+upto AS (SELECT setting, fold, feature, val, sum(g) AS g, sum(h) AS h FROM cell, fold WHERE f <> fold GROUP BY ALL),
+cum AS (SELECT setting, fold, sum(g) OVER (w ORDER BY val) AS gl, sum(h) OVER (w ORDER BY val) AS hl, sum(g) OVER w AS gp, sum(h) OVER w AS hp
+        FROM upto WINDOW w AS (PARTITION BY setting, fold, feature)),
+side AS (SELECT setting, fold, gl, hl, gt, ht FROM cum JOIN total USING (setting, fold)
+         UNION ALL SELECT setting, fold, gl + gt - gp, hl + ht - hp, gt, ht FROM cum JOIN total USING (setting, fold)),
+gain AS (SELECT *, round(gl * gl / (hl + {CUT_L2}) + (gt - gl) * (gt - gl) / (ht - hl + {CUT_L2}) - gt * gt / (ht + {CUT_L2}), 9) AS gain,
+                -{B.STEP} * gl / (hl + {CUT_L2}) AS a, -{B.STEP} * (gt - gl) / (ht - hl + {CUT_L2}) AS b
+         FROM side WHERE hl >= 1 AND ht - hl >= 1)
+SELECT setting, fold, round(max(c.gain), 6) AS gain, round(arg_max(greatest(a, b), c.gain), 6) AS high, round(arg_max(least(a, b), c.gain), 6) AS low
+FROM gain c WHERE c.gain > {B.LEAST} GROUP BY setting, fold""",
     "union_predictions": with_sql(OBS_SQL) + """
 SELECT m.model, m.setting, count(*) AS n, count(DISTINCT idx) AS n_index
 FROM obs, (VALUES ('LM0', 'setting1'), ('LM1', 'setting1'), ('LM2', 'setting1'), ('LM3', 'setting1'), ('LM4', 'setting1'),
