@@ -337,9 +337,7 @@ def q_scan_headerless_log(spark, sf_dir):
 
 
 def q_scan_params(spark, sf_dir):
-    obs = observations(spark, sf_dir, index=False)
-    cells = SM.model_cells(obs)
-    grid = SM.grid_scores(cells)
+    grid = SM.grid_scores(SM.materialized_cells(spark, sf_dir))
     path = K.scratch_path(spark, "lm_optimal")
     K.write_table(SM.best_alphas(grid).select("setting", "model", "fold", "alpha"), path, "csv")
     params = R.scan_params(spark, path, "LM")

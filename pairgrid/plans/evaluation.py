@@ -17,10 +17,11 @@ from pairgrid.operators.models.closed_form import cell_stats, score_shrunk_mean,
 from pairgrid.plans import shrunk_means as SM
 from pairgrid.plans.roles import (
     K_FOLDS, LI_HASH_KEYS, LI_SQL, LI_TIEBREAK, OBS_SQL, ROW_SEED, index_buckets, load, observations, with_sql)
+from pairgrid.sources import writers as K
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SM.predictions(spark, sf_dir)
+def predictions(spark: SparkSession, sf_dir: str, index: bool = True) -> DataFrame:
+    return SM.predictions(spark, sf_dir, index)
 
 
 def _r6(c: str):
@@ -87,21 +88,41 @@ def q_histogram(spark, sf_dir):
 # --- prediction reports ---------------------------------------------------------------------
 
 def q_rmse_pooled(spark, sf_dir):
-    return G.rmse_pooled(predictions(spark, sf_dir), ["model", "setting"]).select("model", "setting", _r6("rmse"), "n")
+    return G.rmse_pooled(predictions(spark, sf_dir, index=False), ["model", "setting"]).select("model", "setting", _r6("rmse"), "n")
 
 
-def with_density(spark, sf_dir, pred: DataFrame) -> DataFrame:
-    flag = G.density_flag(observations(spark, sf_dir).select("idx", "chem", "species"), "chem", "species")
-    return join_predictions(flag.select(F.col("idx").alias("index"), "high_density"), pred, ["index"])
+def written_observations(spark, sf_dir) -> DataFrame:
+    """The indexed observations, written once for plans that read them on both sides of a
+    join: the row id sorts the whole table."""
+    path = K.scratch_path(spark, "observations")
+    obs = observations(spark, sf_dir).select("idx", "species", "chem", "duration", "y", "fold1", "fold2")
+    K.write_table(obs, path)
+    return spark.read.schema(obs.schema).parquet(path)
+
+
+def joined_predictions(spark, sf_dir, obs: DataFrame, left: DataFrame) -> DataFrame:
+    """``left`` ⋈ the predictions of ``obs`` on the index. The join moves one line per row,
+    which is exploded into the legal pairs afterwards."""
+    cells = SM.materialized_cells(spark, sf_dir)
+    mine = obs.select("idx", "y", "species", "chem", "fold1", "fold2")
+    wide = SM.wide_predictions(mine, cells, SM.best_alphas(SM.grid_scores(cells)))
+    wide = wide.drop("species", "chem").withColumnRenamed("idx", "index")
+    return SM.long_predictions(join_predictions(left, wide, ["index"]))
+
+
+def density_predictions(spark, sf_dir) -> DataFrame:
+    obs = written_observations(spark, sf_dir)
+    flag = G.density_flag(obs.select("idx", "chem", "species"), "chem", "species")
+    return joined_predictions(spark, sf_dir, obs, flag.select(F.col("idx").alias("index"), "high_density"))
 
 
 def q_rmse_by_density(spark, sf_dir):
-    p = with_density(spark, sf_dir, predictions(spark, sf_dir))
+    p = density_predictions(spark, sf_dir)
     return G.rmse_by_density(p, ["model", "setting"]).select("model", "setting", "high_density", _r6("rmse"), "n")
 
 
 def q_rmse_fold_mean(spark, sf_dir):
-    r = G.rmse_fold_mean(predictions(spark, sf_dir), ["model", "setting"], "fold")
+    r = G.rmse_fold_mean(predictions(spark, sf_dir, index=False), ["model", "setting"], "fold")
     return r.select("model", "setting", _r6("rmse_fold_mean"))
 
 
@@ -110,12 +131,12 @@ CONFUSION_EDGES = [float("-inf"), 3.5, 4.0, 4.5, float("inf")]
 
 
 def q_confusion_bins(spark, sf_dir):
-    p = predictions(spark, sf_dir).filter((F.col("model") == "LM2") & (F.col("setting") == "setting1"))
+    p = predictions(spark, sf_dir, index=False).filter((F.col("model") == "LM2") & (F.col("setting") == "setting1"))
     return G.confusion_bins(p, "y", "y_pred", CONFUSION_EDGES)
 
 
 def q_band_coverage(spark, sf_dir):
-    b = G.band_coverage(predictions(spark, sf_dir), ["model", "setting"])
+    b = G.band_coverage(predictions(spark, sf_dir, index=False), ["model", "setting"])
     return b.select("model", "setting", *[_r6(f"within_{k}") for k in (1, 2, 3)],
                     *[f"normal_{k}" for k in (1, 2, 3)])
 
@@ -152,7 +173,7 @@ PATIENCE = 3
 
 def penalty_curves(spark, sf_dir) -> DataFrame:
     """(setting, model, outer, inner, round, rmse) for every point of the path."""
-    cells = SM.model_cells(observations(spark, sf_dir, index=False))
+    cells = SM.materialized_cells(spark, sf_dir)
     nested = split_stats(cells, ["setting", "model", "g"], "f", K_FOLDS, "j", K_FOLDS)
     s = score_shrunk_mean(nested, ["setting", "model", "o", "i"], PATH)
     rnd = F.array_position(F.array(*[F.lit(a) for a in PATH]), F.col("alpha")).cast("int")
@@ -208,7 +229,7 @@ def q_pivot_matrix(spark, sf_dir):
 
 
 def q_pivot_two_level(spark, sf_dir):
-    p = with_density(spark, sf_dir, predictions(spark, sf_dir))
+    p = density_predictions(spark, sf_dir)
     r = G.rmse_by_density(p, ["model", "setting"]).withColumn("rmse", F.round("rmse", 6))
     return W.pivot_two_level(r, ["model"], ["setting", "high_density"], "rmse",
                              ["setting1_false", "setting1_true", "setting2_false", "setting2_true"])
@@ -257,7 +278,7 @@ def q_semi_membership(spark, sf_dir):
 
 
 def q_distinct_labels(spark, sf_dir):
-    return W.distinct_labels(predictions(spark, sf_dir), ["model", "setting"])
+    return W.distinct_labels(predictions(spark, sf_dir, index=False), ["model", "setting"])
 
 
 def q_complement_split(spark, sf_dir):
@@ -267,8 +288,8 @@ def q_complement_split(spark, sf_dir):
 
 
 def q_join_predictions(spark, sf_dir):
-    obs = observations(spark, sf_dir).select(F.col("idx").alias("index"), "species", "chem", "duration")
-    j = join_predictions(obs, predictions(spark, sf_dir), ["index"])
+    obs = written_observations(spark, sf_dir)
+    j = joined_predictions(spark, sf_dir, obs, obs.select(F.col("idx").alias("index"), "species", "chem", "duration"))
     return j.select("index", "model", "setting", "species", "chem", "duration", _r6("y_pred"))
 
 
