@@ -50,6 +50,12 @@ def test_nested_sums_equal_a_loop_over_cells(spark):
             assert (x is None and y is None) or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9), (key, name)
 
 
+def test_groups_without_a_fold_keep_their_outer_splits(spark):
+    cells = spark.createDataFrame([(None, None, 2, 3.0, 5.0), (7, 1, 1, 1.0, 1.0)], "g long, f int, n long, sy double, syy double")
+    got = CF.split_stats(cells, ["g"], "f", 3).collect()
+    assert sorted((r.g or 0, r.o, r.tn, r.vn) for r in got) == [(0, 1, 0, 0), (0, 2, 0, 0), (0, 3, 0, 0), (7, 1, 0, 1), (7, 2, 1, 0), (7, 3, 1, 0)]
+
+
 def test_grouped_lines_give_splits_without_an_exchange(spark, tmp_path):
     lines = CF.group_cells(SM.model_cells(observations(spark)), KEYS, "f", 5, "j", 5)
     lines.write.parquet(str(tmp_path / "cells"))
