@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pairgrid.operators import features as FT
@@ -102,10 +101,12 @@ def q_stack_blocks(spark, sf_dir):
         df = df.join(v, "idx", "left")
     st = FT.stack_blocks(df.na.drop(subset=[f"v_{n}" for n in ["species", "chem", "dur"]]),
                          [f"v_{n}" for n in ["species", "chem", "dur", "fp"]])
-    arr = vector_to_array("features")
-    return st.select("idx", F.size(arr).alias("width"),
-                     F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
-                     F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    # a sparse vector's stored entries, never widened: its zeros count nothing
+    u = st.select("idx", F.unwrap_udt("features").alias("_u"))
+    stored = F.col("_u.values")
+    return u.select("idx", F.when(F.col("_u.type") == 0, F.col("_u.size")).otherwise(F.size(stored)).alias("width"),
+                    F.size(F.filter(stored, lambda x: x != 0)).alias("nnz"),
+                    F.round(F.aggregate(stored, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def q_to_long_sparse(spark, sf_dir):
