@@ -90,3 +90,30 @@ def test_rows_meet_each_factor_once(spark):
         plan.explain(True)
     optimized = text.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert optimized.count("Join LeftOuter") == 4  # the two null models by fold, species, chemical
+
+
+def test_lines_of_rows_equal_lines_of_cells(spark):
+    obs = observations(spark, n=900).cache()
+    names = ["c_n", "c_sy", "c_syy", "f_n", "f_sy", "f_syy"]
+    flat = lambda r: [None if x is None else round(x, 9) for c in names for x in r[c]]
+    want = {tuple(r[k] for k in KEYS): r for r in CF.group_cells(SM.model_cells(obs), KEYS, "f", 5, "j", 5).collect()}
+    hot = CF.split_hot(obs, ["species", "chem"])["species"][1]
+    assert hot.where("species = 1").count() == obs.where("species = 1").count()
+    for share in (CF.HOT_SHARE, 0.3, 1.0):  # most groups, one group, no group summed before the exchange
+        CF.HOT_SHARE, kept = share, CF.HOT_SHARE
+        try:
+            got = SM.model_lines(obs).collect()
+        finally:
+            CF.HOT_SHARE = kept
+        assert len(got) == len(want)
+        for r in got:
+            w = want[tuple(r[k] for k in KEYS)]
+            assert flat(r) == flat(w) and [x > 0 for x in r["f_cells"]] == [x > 0 for x in w["f_cells"]]
+
+
+def test_usual_rows_are_exchanged_once_per_factor(spark):
+    obs = observations(spark)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        CF.group_rows(obs, "species", [("setting1", "LM1", "fold1", "inner1"), ("setting2", "LM1", "fold2", "inner2")], 5, 5).explain()
+    assert text.getvalue().count("Exchange hashpartitioning") == 1
