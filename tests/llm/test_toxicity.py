@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairgrid.llm import toxicity as X
@@ -142,3 +143,16 @@ def test_odd_rows(spark):
     rows = X.score(docs, X.train(docs, labels)).collect()
     assert len(rows) == 5 and len({(r["doc_id"], r["toxic"]) for r in rows}) == 4
     assert X.score(docs.limit(0), X.train(docs.limit(0), none)).collect() == []
+
+
+def test_texts_are_taken_a_few_at_a_time():
+    """A batch's texts and features become Python objects in pieces, in order and whole."""
+    n = 3 * X.ROWS + 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([[0, 0, 0]] * n, pa.list_(pa.int32())), pa.array([0] * n, pa.int32()),
+                                        pa.array([f"word{i} toxic" for i in range(n)])], names=["nth", "y", "fold", "text"])
+    out = list(X._features(None)(iter([batch])))
+    assert max(b.num_rows for b in out) <= X.ROWS
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(n))
+    assert [f for b in out for f in b.column(3).to_pylist()] == [X._text_features(f"word{i} toxic") for i in range(n)]
+    empty = list(X._features(None)(iter([batch.slice(0, 0)])))
+    assert sum(b.num_rows for b in empty) == 0
