@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgrid.session import ensure_checkpoint_dir, table_path
+from pairgrid.session import ensure_checkpoint_dir, small_batches, table_path  # noqa: F401
 
 #: Rows of a table that may be broadcast; beyond it the operators use shuffle joins.
 BROADCAST_ROWS = 200_000
@@ -37,15 +35,3 @@ def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a materialised table when its counted rows are within ``bound``;
     else leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
-    """Arrow batches of about ``size`` bytes for the jobs that run inside."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
