@@ -37,6 +37,21 @@ def test_arrays_hold_the_entries_of_the_long_form(spark, names):
     assert "Generate" not in text.getvalue()
 
 
+def test_models_are_as_wide_as_the_bits_that_occur(spark):
+    c, names = coded(spark), ["species", "dur", "fp", "inter"]
+    few = D.occurring_bits(c)
+    bits = sorted(r["bit"] for r in c.fp.select("bit").distinct().collect())
+    assert few.n_bits == len(bits) < D.N_BITS and D.design_arrays(few, names, ["idx"])[1] == 3 + 2 + len(bits) * 4
+    at, width = 5, D.N_BITS
+
+    def entries(c, back):
+        rows = D.design_arrays(c, names, ["idx"])[0].collect()
+        return sorted((r.idx, back(f), v, b) for r in rows for f, v, b in zip(r.fi, r.fv, r.ff))
+    old = lambda f: f if f < at else at + (f - at) // len(bits) * width + bits[(f - at) % len(bits)]
+    assert entries(few, old) == entries(c, lambda f: f)
+    assert D.occurring_bits(D.replace(c, fp=c.fp.where("false"))).n_bits == 0
+
+
 def rows_of(spark, n=60):
     rng = np.random.default_rng(2)
     out = []
