@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import materialize, table
 
 #: The chain, and the category that decides.
 CATEGORIES, DECIDES, CUT = ("low_quality", "toxic", "toxic_low_quality"), "toxic", 0.5
@@ -38,7 +38,9 @@ SAMPLE, FOLDS, FEATURES, LEAST_CHI2, RIDGE, ONES = 20_000, 5, 4096, 25.0, 0.1, 2
 #: Words whose features a worker remembers.
 KNOWN = 300_000
 #: Entries of the design matrix that a fit works on at a time.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 16
+#: Least share of its first error that a Newton step's system is solved to, far from the end.
+LOOSE = 0.01
 #: Rows of an Arrow batch whose texts and features are Python objects at a time.
 ROWS = 256
 _WORDS = re.compile(r"\w+")
@@ -160,7 +162,7 @@ def newton(counts: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         z = forward(w)
         return c @ (np.logaddexp(0, z) - y * z) + (penalty * w * w).sum() / 2
 
-    now = loss(w)
+    now, first = loss(w), 0.0
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -40, 40)))
         grad = back(c * (p - y)) + penalty * w
@@ -169,7 +171,8 @@ def newton(counts: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarra
         step, r = np.zeros_like(w), -grad
         z = scale * r
         direction, rz = z.copy(), r @ z
-        least = 1e-8 * rz
+        first = first or rz
+        least = max(1e-8, LOOSE * min(1.0, rz / first) ** 0.5) * rz if first else 0.0  # a step far from the end need not be exact
         for _ in range(50):
             if rz <= least:
                 break
@@ -294,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             places = {g: np.full(len(union) + 1, -1, np.int32) for g in groups}
             for g in groups:
                 places[g][np.searchsorted(union, names[g])] = np.arange(len(names[g]), dtype=np.int32)
-            sent = rows.mapInArrow(_send(k, places), _SENT).repartition(partitions(rows.sparkSession), "left_out").sortWithinPartitions("left_out", "nth")
+            sent = rows.mapInArrow(_send(k, places), _SENT).repartitionById(len(groups), F.col("left_out") - groups[0]).sortWithinPartitions("left_out", "nth")
             return materialize(sent.mapInArrow(_fit(k, names, start), "kind int, name long, value double"), "fitted")
 
         found = fitted([FOLDS], {})

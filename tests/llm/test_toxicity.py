@@ -156,3 +156,42 @@ def test_texts_are_taken_a_few_at_a_time():
     assert [f for b in out for f in b.column(3).to_pylist()] == [X._text_features(f"word{i} toxic") for i in range(n)]
     empty = list(X._features(None)(iter([batch.slice(0, 0)])))
     assert sum(b.num_rows for b in empty) == 0
+
+
+def test_each_fold_is_fitted_in_a_task_of_its_own(spark, monkeypatch):
+    """The folds' fits run side by side: no task gets the rows of two of them."""
+    from pairgrid.llm import common
+
+    taken = []
+
+    def noting(df, name):
+        out = common.materialize(df, name)
+        if name == "fitted":
+            taken.append(out.select(F.input_file_name().alias("file"), "kind").distinct().groupBy("kind").count().collect())
+        return out
+
+    monkeypatch.setattr(X, "materialize", noting)
+    docs, labels = some_documents()
+    X.train(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(i, 1 - q, t) for i, (t, q) in labels.items()], "doc_id long, quality int, toxic int"))
+    assert [r[0]["count"] for r in taken if r[0]["kind"] == 0] == [X.FOLDS, X.FOLDS]
+
+
+def test_far_from_the_end_steps_are_not_solved_exactly(monkeypatch):
+    """The same minimum with fewer products by the matrix."""
+    r = np.random.default_rng(1)
+    n, width = 3000, 600
+    often = 1 / np.arange(1, width + 1)
+    own = [np.unique(r.choice(width, 30, p=often / often.sum())) for _ in range(n)]
+    counts, cols = np.array([len(c) for c in own]), np.concatenate(own)
+    z = np.bincount(np.repeat(np.arange(n), counts), r.normal(0, 2, width)[cols], n)
+    y, passes, back = (z > np.quantile(z, .8)).astype(float), [0], X.Entries.back
+
+    def counted(self, v):
+        passes[0] += 1
+        return back(self, v)
+
+    monkeypatch.setattr(X.Entries, "back", counted)
+    w, loose = X.newton(counts, cols, np.empty((n, 0)), y, width), passes[0]
+    monkeypatch.setattr(X, "LOOSE", 0.0)
+    exact = X.newton(counts, cols, np.empty((n, 0)), y, width)
+    assert loose < .8 * (passes[0] - loose) and np.abs(w - exact).max() < .02
