@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import few, materialize, table
 
 WINDOW, WORDS, SALTS = 3, 50, 64
+#: Rows of an Arrow batch whose texts and lines are Python objects at a time.
+ROWS = 256
 BLANKS = " \t\r\x0b\x0c"
 WORD = re.compile(f"[^{BLANKS}]+")
 
@@ -71,7 +73,7 @@ def _fingerprints(window: int, words: int):
     kind = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, ROWS):
             take, prints, lengths, ats, nears, offsets = [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 lines, units = _units(text)
@@ -128,7 +130,7 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 def _cut(window: int, text_at: int):
     """Rows with the runs' starts and sizes as their last column -> the text without those runs, and counts in its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, ROWS):
             *cols, starts = batch.columns
             kept, counts = [], []
             for text, own in zip(cols[text_at].to_pylist(), starts.to_pylist()):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import few, materialize, table
 
 #: The chain, and the category that decides.
 CATEGORIES, DECIDES, CUT = ("low_quality", "toxic", "toxic_low_quality"), "toxic", 0.5
@@ -51,13 +51,6 @@ def word_features(word: str) -> list[int]:
     return [zlib.crc32(f"{n}:{word[:n]}".encode()) for n in range(3, 7) if len(word) > n] + [zlib.crc32(f"w:{word}".encode())]
 
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``ROWS`` rows; an empty one stays."""
-    for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def _text_features(text: str | None) -> list[int]:
     return sorted({f for w in set(_WORDS.findall((text or "").lower())) for f in word_features(w)})
 
@@ -67,7 +60,7 @@ def _features(chosen: np.ndarray | None):
     places in it of those features that it has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = None if chosen is None else {f: i for i, f in enumerate(chosen.tolist())}
-        for batch in _few(batches):
+        for batch in few(batches, ROWS):
             feats = [_text_features(t) for t in batch.column(3).to_pylist()]
             if place is not None:
                 feats = [[place[f] for f in own if f in place] for own in feats]
@@ -356,7 +349,7 @@ def score(docs: DataFrame, chain: list[dict], id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _scorer(chain)
-        for batch in _few(batches):
+        for batch in few(batches, ROWS):
             p = judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(chain)))], names=["id", *CATEGORIES])
 
@@ -370,7 +363,7 @@ def drop_toxic(docs: DataFrame, chain: list[dict], cut: float = CUT, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _scorer(chain)
-        for batch in _few(batches):
+        for batch in few(batches, ROWS):
             yield batch.filter(pa.array(judge(batch.column(at).to_pylist())[:, k] < cut))
 
     names = [f"c{i}" for i in range(len(docs.columns))]

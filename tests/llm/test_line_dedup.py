@@ -91,3 +91,16 @@ def test_short_runs_of_many_words(spark):
 @given(st.lists(st.integers(0, 40), max_size=20), st.integers(1, 3))
 def test_long_runs(sizes, w):
     assert L._long_runs(sizes, w, 50) == {j for j in range(len(sizes)) if j + w <= len(sizes) and sum(sizes[j:j + w]) > 50}
+
+
+def test_lines_are_taken_a_few_rows_at_a_time():
+    """Texts and lines of a batch become Python objects in pieces, in order and whole."""
+    import pyarrow as pa
+
+    n = 2 * L.ROWS + 7
+    texts = [f"a {i}\nb {i}\nc {i}\nd" if i % 3 else None for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["id", "key", "text"])
+    out = list(L._fingerprints(3, 50)(iter([batch])))
+    assert len(out) == 3 and sorted({i for b in out for i in b.column(0).to_pylist()}) == [i for i in range(n) if i % 3]
+    cut = list(L._cut(3, 1)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([[3]] * n)], names=["c0", "c1", "starts"])])))
+    assert max(b.num_rows for b in cut) <= L.ROWS and [t for b in cut for t in b.column(1).to_pylist()] == ["d" if i % 3 else None for i in range(n)]
