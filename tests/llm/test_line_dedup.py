@@ -102,5 +102,5 @@ def test_lines_are_taken_a_few_rows_at_a_time():
     batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["id", "key", "text"])
     out = list(L._fingerprints(3, 50)(iter([batch])))
     assert len(out) == 3 and sorted({i for b in out for i in b.column(0).to_pylist()}) == [i for i in range(n) if i % 3]
-    cut = list(L._cut(3, 1)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([[3]] * n)], names=["c0", "c1", "starts"])])))
+    cut = list(L._cut(3, 1)(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([[3] if t else None for t in texts], pa.list_(pa.int64()))], names=["c0", "c1", "starts"])])))
     assert max(b.num_rows for b in cut) <= L.ROWS and [t for b in cut for t in b.column(1).to_pylist()] == ["d" if i % 3 else None for i in range(n)]
